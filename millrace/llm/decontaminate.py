@@ -121,7 +121,7 @@ class Model:
     """Automaton, the words' ids and, to pass over what cannot match, the hashes of the items' words and word pairs."""
 
     def __init__(self, rows: list[tuple[int, str | None]], window: int = WINDOW) -> None:
-        rows = sorted((i, t) for i, t in rows if i is not None)
+        rows = sorted(((i, t or "") for i, t in rows if i is not None), key=lambda r: (str(r[0]), r[1]))
         split = [(i, _tokens(t)) for i, t in rows]
         split = [(i, s) for i, s in split if s]
         self.ids = [i for i, _ in split]
