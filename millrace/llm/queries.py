@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("decontaminate",)
+MODULES = ("language", "decontaminate")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
