@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "decontaminate")
+MODULES = ("language", "neardup", "decontaminate")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
