@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "neardup", "decontaminate")
+MODULES = ("language", "neardup", "decontaminate", "repeats")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
