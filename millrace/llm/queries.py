@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("language", "neardup", "decontaminate", "mixing", "media", "sharding", "repeats")
+MODULES = ("licenses", "language", "neardup", "decontaminate", "mixing", "media", "sharding", "repeats")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
