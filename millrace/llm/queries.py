@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("licenses", "language", "neardup", "quality", "decontaminate", "mixing", "media", "sharding", "repeats")
+MODULES = ("lines", "licenses", "language", "neardup", "quality", "decontaminate", "mixing", "media", "sharding", "repeats")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
