@@ -1,7 +1,20 @@
-"""Named queries over the star-schema tables, each with the SQL that gives the same rows."""
+"""Named queries over the star-schema tables, each with the SQL that gives the same rows.
+
+Sums of money are decimals until the end and means are over whole numbers, so both engines give the same doubles.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions.expressions import evaluate
+from millrace.functions.templates import render_template
+from millrace.operators import access_map, fuzzy, graph, intervals, outliers, sales, strings, timeseries, upsert
+from millrace.session import table
+from millrace.streaming import events as event_streams
+from millrace.streaming import lru
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -14,3 +27,424 @@ def query(name: str, sql: str | None = None):
         return function
 
     return register
+
+
+def _money(c: str):
+    return F.col(c).cast("decimal(18,4)")
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    return df.select(*(F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes))
+
+
+def _revenue(spark: SparkSession, d: str) -> DataFrame:
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", (_money("l_extendedprice") * (1 - _money("l_discount"))).cast("decimal(18,4)").alias("revenue"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return item.join(part, "l_partkey").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
+
+
+_REVENUE = """(SELECT p_brand, o_custkey, o_orderdate,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * (1 - CAST(l_discount AS DECIMAL(18,4))) AS DECIMAL(18,4)) AS revenue
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+@query("topn_dense_rank", f"""
+  SELECT r_name AS region, p_brand AS brand, CAST(revenue AS DOUBLE) AS revenue, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, dense_rank() OVER (PARTITION BY r_name ORDER BY revenue DESC) AS rank FROM (
+      SELECT r_name, p_brand, sum(revenue) AS revenue FROM {_REVENUE} v JOIN customer ON o_custkey = c_custkey
+      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)) WHERE rank <= 3""")
+def topn_dense_rank(spark, d):
+    places = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = _revenue(spark, d).join(places.select(F.col("c_custkey").alias("o_custkey"), F.col("r_name").alias("region")), "o_custkey")
+    return _doubles(sales.top_n_per_group(rows.withColumnRenamed("p_brand", "brand"), ["region"], ["brand"], "revenue", 3))
+
+
+@query("monthly_pivot", "SELECT c_mktsegment, " + ", ".join(
+    f"CAST(coalesce(sum(CASE WHEN month(o_orderdate) = {m} THEN CAST(o_totalprice AS DECIMAL(18,4)) END), 0) AS DOUBLE) AS m{m}" for m in range(1, 13)) +
+    " FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def monthly_pivot(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("price", _money("o_totalprice"))
+    month = F.concat(F.lit("m"), F.month("o_orderdate").cast("string"))
+    return _doubles(sales.monthly_pivot(rows, ["c_mktsegment"], month, [f"m{m}" for m in range(1, 13)], "price", digits=None))
+
+
+@query("yoy_growth", f"""
+  SELECT p_brand, CAST(a AS DOUBLE) AS y1996, CAST(b AS DOUBLE) AS y1997,
+         CASE WHEN a <> 0 THEN CAST(b - a AS DOUBLE) / CAST(a AS DOUBLE) * 100 END AS yoy_pct FROM (
+    SELECT p_brand, coalesce(sum(CASE WHEN year(o_orderdate) = 1996 THEN revenue END), 0) AS a,
+           coalesce(sum(CASE WHEN year(o_orderdate) = 1997 THEN revenue END), 0) AS b
+    FROM {_REVENUE} v WHERE year(o_orderdate) IN (1996, 1997) GROUP BY p_brand)""")
+def yoy_growth(spark, d):
+    rows = _revenue(spark, d).withColumn("year", F.year("o_orderdate"))
+    return _doubles(sales.yoy_growth(rows, ["p_brand"], "year", "revenue", 1996, 1997, digits=None))
+
+
+@query("rolling_trend", """
+  SELECT c_mktsegment, month, cents, avg(cents) OVER (PARTITION BY c_mktsegment ORDER BY month ROWS 2 PRECEDING) AS rev_rolling_3m FROM (
+    SELECT c_mktsegment, year(o_orderdate) * 12 + month(o_orderdate) AS month, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents
+    FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)""")
+def rolling_trend(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select("c_mktsegment", (F.year("o_orderdate") * 12 + F.month("o_orderdate")).cast("long").alias("month"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return sales.rolling_trend(rows, ["c_mktsegment"], "month", "cents", 3)
+
+
+@query("top_k_frequent", "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey DESC LIMIT 10")
+def top_k_frequent(spark, d):
+    return sales.top_k_frequent(table(spark, d, "lineitem"), "l_partkey", 10)
+
+
+@query("cohort_retention", """
+  WITH t AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, date_trunc('month', min(o_orderdate) OVER (PARTITION BY o_custkey)) AS c FROM orders),
+  n AS (SELECT c, (year(m) - year(c)) * 12 + month(m) - month(c) AS period, count(DISTINCT o_custkey) AS n_users FROM t GROUP BY ALL)
+  SELECT strftime(c, '%Y-%m') AS cohort, period, n_users, n_users / first_value(n_users) OVER (PARTITION BY c ORDER BY period) AS ratio FROM n""")
+def cohort_retention(spark, d):
+    from pyspark.sql import Window
+
+    counts = sales.cohort_counts(table(spark, d, "orders"), "o_custkey", "o_orderdate")
+    size = F.first("n_users").over(Window.partitionBy("cohort").orderBy("period"))
+    return counts.select(F.date_format("cohort", "yyyy-MM").alias("cohort"), F.col("period").cast("long").alias("period"), "n_users", (F.col("n_users") / size).alias("ratio"))
+
+
+@query("cohort_matrix")
+def cohort_matrix(spark, d):
+    return sales.cohort_retention(table(spark, d, "orders"), "o_custkey", "o_orderdate", 12)
+
+
+def _hourly(spark, d) -> DataFrame:
+    rows = table(spark, d, "events").select("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"))
+    return rows.groupBy("event_type", "ts").agg(F.count("*").cast("double").alias("value"))
+
+
+_GRID = """WITH h AS (SELECT event_type, date_trunc('hour', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL),
+  e AS (SELECT event_type, min(ts) AS a, max(ts) AS b FROM h GROUP BY 1),
+  g AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ts FROM e),
+  r AS (SELECT g.event_type, CAST(g.ts AS TIMESTAMP) AS ts, value, value IS NULL AS is_missing FROM g LEFT JOIN h ON g.event_type = h.event_type AND g.ts = h.ts)"""
+
+
+@query("gap_grid", f"{_GRID} SELECT event_type, ts, value, is_missing FROM r")
+def gap_grid(spark, d):
+    return timeseries.regularize(_hourly(spark, d), ["event_type"])
+
+
+@query("gap_fill", f"""{_GRID},
+  n AS (SELECT *, row_number() OVER w AS nth FROM r WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+  k AS (SELECT *, CASE WHEN value IS NOT NULL THEN nth END AS ka FROM n),
+  f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(ka IGNORE NULLS) OVER b AS pa, first_value(value IGNORE NULLS) OVER a AS nv, first_value(ka IGNORE NULLS) OVER a AS na,
+    avg(value) OVER (PARTITION BY event_type, hour(ts)) AS s
+    FROM k WINDOW b AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  l AS (SELECT *, CASE WHEN value IS NOT NULL THEN value WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * ((nth - pa)::DOUBLE / (na - pa)) END AS linear, coalesce(value, s) AS seasonal FROM f)
+  SELECT event_type, ts, value, is_missing, pv AS ffill, linear, seasonal, coalesce(linear, seasonal, nv, pv) AS composite FROM l""")
+def gap_fill(spark, d):
+    return timeseries.fill_strategies(gap_grid(spark, d), ["event_type"])
+
+
+@query("long_gaps", f"""{_GRID},
+  n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) - row_number() OVER (PARTITION BY event_type, is_missing ORDER BY ts) AS run FROM r)
+  SELECT event_type, min(ts) AS "start", max(ts) AS "end", count(*) AS length FROM n WHERE is_missing GROUP BY event_type, run HAVING count(*) >= 2""")
+def long_gaps(spark, d):
+    return timeseries.long_gaps(gap_grid(spark, d), ["event_type"], min_run=2)
+
+
+@query("rolling_anomaly", f"""{_GRID},
+  w AS (SELECT *, count(value) OVER x AS n, avg(value) OVER x AS m, stddev_samp(value) OVER x AS s FROM r WINDOW x AS (PARTITION BY event_type ORDER BY ts ROWS 11 PRECEDING))
+  SELECT event_type, ts, coalesce(CASE WHEN n >= 6 AND s <> 0 THEN abs((value - m) / s) > 2.5 END, false) AS anomaly FROM w""")
+def rolling_anomaly(spark, d):
+    return timeseries.rolling_anomalies(gap_grid(spark, d), ["event_type"], value_col="value", digits=None).select("event_type", "ts", "anomaly")
+
+
+def _outlier_sql(group: str) -> str:
+    by = f"PARTITION BY {group}" if group else ""
+    return f"""WITH a AS (SELECT event_id, event_type, value, quantile_cont(value, 0.25) OVER ({by}) AS q1, quantile_cont(value, 0.75) OVER ({by}) AS q3,
+        avg(value) OVER ({by}) AS m, stddev_pop(value) OVER ({by}) AS s, quantile_cont(value, 0.5) OVER ({by}) AS med FROM events),
+      b AS (SELECT *, quantile_cont(abs(value - med), 0.5) OVER ({by}) AS mad0 FROM a),
+      f AS (SELECT event_id, event_type, value, value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS iqr,
+        s > 0 AND abs(value - m) / s > 3 AS zscore, mad0 > 0 AND 0.6745 * abs(value - med) / mad0 > 3.5 AS mad FROM b),
+      o AS (SELECT *, iqr::INTEGER + zscore::INTEGER + mad::INTEGER AS score, iqr::INTEGER + zscore::INTEGER + mad::INTEGER >= 2 AS outlier FROM f)"""
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", "value")
+
+
+@query("outliers_grouped", _outlier_sql("event_type") + " SELECT * FROM o")
+def outliers_grouped(spark, d):
+    return outliers.detect_outliers(_events(spark, d), "value", "event_type")
+
+
+@query("outliers_global", _outlier_sql("") + " SELECT * FROM o")
+def outliers_global(spark, d):
+    return outliers.detect_outliers(_events(spark, d), "value")
+
+
+@query("outlier_eval", _outlier_sql("event_type") + """, c AS (SELECT count(*) FILTER (t AND outlier) AS tp, count(*) FILTER (NOT t AND outlier) AS fp, count(*) FILTER (t AND NOT outlier) AS fn FROM (SELECT *, value > 200 AS t FROM o))
+    SELECT tp, fp, fn, coalesce(round_even(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END, 3), 0) AS precision, coalesce(round_even(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END, 3), 0) AS recall FROM c""")
+def outlier_eval(spark, d):
+    return outliers.evaluate_against_truth(outliers_grouped(spark, d).withColumn("truth", F.col("value") > 200), "truth")
+
+
+@query("merge_intervals", """
+  WITH i AS (SELECT o_custkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders),
+  r AS (SELECT o_custkey, s, s + 20 AS e, max(s + 20) OVER (PARTITION BY o_custkey ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+  g AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY o_custkey ORDER BY s ROWS UNBOUNDED PRECEDING) AS run FROM r)
+  SELECT o_custkey, CAST(min(s) AS INTEGER) AS "start", CAST(max(e) AS INTEGER) AS "end" FROM g GROUP BY o_custkey, run""")
+def merge_intervals(spark, d):
+    day = F.date_diff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
+    return intervals.merge_intervals(table(spark, d, "orders").select("o_custkey", day.alias("start"), (day + 20).alias("end")), ["o_custkey"])
+
+
+@query("anagram_groups", r"""
+  WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents WHERE lang = 'en'),
+  k AS (SELECT word, array_to_string(list_sort(string_split(regexp_replace(lower(word), '[^a-z]', '', 'g'), '')), '') AS key FROM w)
+  SELECT key, array_to_string(list_sort(list(word)), ' ') AS words, count(*) AS n FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 2""")
+def anagram_groups(spark, d):
+    words = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
+    return strings.group_anagrams(words).withColumn("words", F.array_join("words", " "))
+
+
+_NAMES = "SELECT DISTINCT p_name AS s FROM part"
+_SUBSTRINGS = f"""WITH n AS ({_NAMES}), a AS (SELECT s, unnest(range(0, length(s))) AS i FROM n), b AS (SELECT s, i, unnest(range(i, length(s))) AS j FROM a),
+  c AS (SELECT s, i, j, j - i + 1 AS n, substr(s, i + 1, j - i + 1) AS content FROM b), u AS (SELECT *, len(list_distinct(string_split(content, ''))) AS kinds FROM c)"""
+
+
+def _names(spark, d):
+    return table(spark, d, "part").select(F.col("p_name").alias("s")).distinct()
+
+
+def _longest(condition: str) -> str:
+    return f"""{_SUBSTRINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY n DESC, i) AS k FROM u WHERE {condition})
+      SELECT s, CAST(i AS INTEGER) AS "start", CAST(j AS INTEGER) AS "end", CAST(n AS INTEGER) AS length, content FROM r WHERE k = 1"""
+
+
+@query("longest_unique", _longest("kinds = n"))
+def longest_unique(spark, d):
+    return _names(spark, d).withColumn("m", strings.longest_unique_substring(F.col("s"))).select("s", "m.*")
+
+
+@query("k_distinct", _longest("kinds <= 3"))
+def k_distinct(spark, d):
+    return _names(spark, d).withColumn("m", strings.longest_with_k_distinct(F.col("s"), 3)).select("s", "m.*")
+
+
+@query("unique_windows", f"""{_SUBSTRINGS}, q AS (SELECT * FROM u WHERE kinds = n AND n >= 3)
+  SELECT s, CAST(i AS INTEGER) AS "start", CAST(j AS INTEGER) AS "end", CAST(n AS INTEGER) AS length, content FROM q
+  WHERE NOT EXISTS (SELECT 1 FROM u x WHERE x.s = q.s AND x.kinds = x.n AND x.i <= q.i AND x.j >= q.j AND x.n > q.n)""")
+def unique_windows(spark, d):
+    return _names(spark, d).select("s", F.explode(strings.all_unique_windows(F.col("s"), 3)).alias("m")).select("s", "m.*")
+
+
+@query("word_break", """
+  WITH RECURSIVE t(s, d) AS (VALUES ('leetcode', ['leet','code']), ('applepenapple', ['apple','pen']), ('catsandog', ['cats','dog','sand','and','cat']), ('a', ['a']), ('ab', ['a']), ('aaaaaaa', ['aaaa','aaa'])),
+  w AS (SELECT s, unnest(d) AS w FROM t),
+  p(s, n) AS (SELECT s, 0 FROM t UNION SELECT p.s, n + length(w.w) FROM p JOIN w ON p.s = w.s AND substr(p.s, n + 1, length(w.w)) = w.w)
+  SELECT t.s, EXISTS (SELECT 1 FROM p WHERE p.s = t.s AND n = length(t.s)) AS breaks FROM t""")
+def word_break(spark, d):
+    rows = spark.sql("SELECT * FROM VALUES ('leetcode', array('leet','code')), ('applepenapple', array('apple','pen')), ('catsandog', array('cats','dog','sand','and','cat')), ('a', array('a')), ('ab', array('a')), ('aaaaaaa', array('aaaa','aaa')) AS t(s, d)")
+    return rows.select("s", strings.word_break(F.col("s"), F.col("d")).alias("breaks"))
+
+
+def _dictionary(spark, d):
+    return table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("frequency"))
+
+
+def _misspelt(spark, d):
+    words = _dictionary(spark, d)
+    return words.select(F.concat(F.substring("word", 1, 2), F.substring("word", 4, 99)).alias("word")).union(words.select("word"))
+
+
+@query("spell_suggest", """
+  WITH k AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT word, count(*) AS f FROM k GROUP BY 1),
+  q AS (SELECT DISTINCT substr(word, 1, 2) || substr(word, 4, 99) AS word FROM d UNION SELECT word FROM d),
+  s AS (SELECT q.word, d.word AS suggestion, levenshtein(q.word, d.word)::DOUBLE AS distance, f FROM q, d WHERE q.word NOT IN (SELECT word FROM d)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, f DESC, suggestion) AS place FROM s WHERE distance <= 3)
+  SELECT word, suggestion, distance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5
+  UNION ALL SELECT q.word, q.word, 0, 1 FROM q JOIN d ON q.word = d.word""")
+def spell_suggest(spark, d):
+    return fuzzy.suggest(_misspelt(spark, d), _dictionary(spark, d), weighted=False)
+
+
+@query("spell_weighted")
+def spell_weighted(spark, d):
+    return fuzzy.suggest(_misspelt(spark, d), _dictionary(spark, d))
+
+
+@query("fuzzy_join")
+def fuzzy_join(spark, d):
+    part = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("left_id"))
+    other = part.select(F.concat(F.upper(F.substring("name", 1, 3)), F.substring("name", 5, 99), F.lit(", Inc.")).alias("name"), F.col("left_id").alias("right_id"))
+    return fuzzy.fuzzy_join(part, other)
+
+
+def _places(spark, d):
+    region, nation, supplier = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    one = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    return one.union(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("parent"), F.col("s_name").alias("child")))
+
+
+_PLACES = """WITH RECURSIVE e AS (SELECT r_name AS parent, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION SELECT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+  w(root, node, depth, path) AS (SELECT DISTINCT parent, parent, 0, [parent] FROM e WHERE parent NOT IN (SELECT child FROM e)
+    UNION ALL SELECT w.root, e.child, depth + 1, list_append(path, e.child) FROM w JOIN e ON e.parent = w.node WHERE NOT list_contains(path, e.child) AND depth < 20)"""
+
+
+@query("role_paths", f"{_PLACES} SELECT root, node, depth, array_to_string(path, ' -> ') AS path FROM w")
+def role_paths(spark, d):
+    edges = _places(spark, d)
+    return graph.simple_paths(edges, graph.top_roots(edges)).withColumn("path", F.array_join("path", " -> "))
+
+
+@query("leaf_map", f"{_PLACES} SELECT DISTINCT root, node AS leaf FROM w WHERE depth > 0 AND node NOT IN (SELECT parent FROM e)")
+def leaf_map(spark, d):
+    return graph.leaf_map(_places(spark, d))
+
+
+_ROLE_EDGES = [("FARMERS_MASTER1", "CHILD1"), ("FARMERS_MASTER1", "CHILD10"), ("FARMERS_MASTER2", "CHILD10"), ("CHILD1", "CHILD2"), ("CHILD2", "CHILD3"), ("CHILD2", "CHILD4"), ("CHILD10", "CHILD5")]
+_GRANTS = [("CHILD3", "DB1", "SCH1", "USAGE"), ("CHILD3", "DB1", "SCH1", "SELECT"), ("CHILD4", "DB2", "SCH2", "USAGE"), ("CHILD5", "DB1", "SCH1", "USAGE"), ("CHILD5", "DB3", "SCH3", "SELECT")]
+_WAREHOUSES = [("CHILD3", "WH_A", "USAGE"), ("CHILD3", "WH_A", "OPERATE"), ("CHILD5", "WH_B", "USAGE"), ("CHILD10", "WH_A", "USAGE")]
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+
+
+def _inline(spark, rows, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t({names})")
+
+
+_MASTERS = f"""WITH RECURSIVE e(parent, child) AS (VALUES {_values(_ROLE_EDGES)}), g(role, database, schema, privilege) AS (VALUES {_values(_GRANTS)}), wh(role, warehouse, privilege) AS (VALUES {_values(_WAREHOUSES)}),
+  w(root, node, depth, path) AS (SELECT DISTINCT parent, parent, 0, [parent] FROM e WHERE upper(parent) LIKE 'FARMERS%'
+    UNION ALL SELECT w.root, e.child, depth + 1, list_append(path, e.child) FROM w JOIN e ON e.parent = w.node WHERE NOT list_contains(path, e.child) AND depth < 20)"""
+
+
+@query("access_map", f"""{_MASTERS}, p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node GROUP BY ALL)
+  SELECT root AS master_role, database, schema, array_to_string(list_sort(list_distinct(flatten(list(pr)))), ',') AS permissions,
+    array_to_string(list_transform(list_sort(list({{'d': depth, 'n': node, 'p': array_to_string(path, '>'), 'x': array_to_string(pr, '+')}})), lambda s: s.n || '/' || s.d || '/' || s.p || '/' || s.x), ';') AS paths FROM p GROUP BY root, database, schema""")
+def access_map_query(spark, d):
+    out = access_map.build_access_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _GRANTS, "role, database, schema, privilege"))
+    text = F.transform("paths", lambda p: F.concat_ws("/", p["descendant_role"], p["depth"].cast("string"), F.array_join(p["role_path"], ">"), F.array_join(p["privileges"], "+")))
+    return out.select("master_role", "database", "schema", F.array_join("permissions", ",").alias("permissions"), F.array_join(text, ";").alias("paths"))
+
+
+@query("access_records")
+def access_records(spark, d):
+    return access_map.nested_record(access_map.build_access_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _GRANTS, "role, database, schema, privilege"), shape="children"))
+
+
+@query("path_rows", f"{_MASTERS} SELECT root, array_to_string(path, '>') AS path, node AS leaf_role, depth, database, schema, privilege FROM w JOIN g ON g.role = w.node")
+def path_rows(spark, d):
+    edges = _inline(spark, _ROLE_EDGES, "parent, child")
+    paths = graph.simple_paths(edges, graph.prefix_roots(edges, "parent", "farmers"))
+    return access_map.path_rows(paths, _inline(spark, _GRANTS, "role, database, schema, privilege")).withColumn("path", F.array_join("path", ">"))
+
+
+@query("audit_rows", f"""{_MASTERS} SELECT root AS master_role, array_to_string(path, '>') AS role_tree, depth AS level, database, coalesce(schema, '*') AS schema,
+    coalesce(array_to_string(list_sort(list(DISTINCT privilege) FILTER (privilege IS NOT NULL)), ','), '') AS permissions FROM w LEFT JOIN g ON g.role = w.node GROUP BY ALL""")
+def audit_rows(spark, d):
+    edges = _inline(spark, _ROLE_EDGES, "parent, child")
+    roles = edges.select(F.col("parent").alias("role")).union(edges.select("child"))
+    out = access_map.audit_rows(edges, roles, _inline(spark, _GRANTS, "role, database, schema, privilege"), "FARMERS")
+    return out.withColumn("role_tree", F.array_join("role_tree", ">")).withColumn("permissions", F.array_join("permissions", ","))
+
+
+@query("warehouse_map", f"""{_MASTERS}, j AS (SELECT DISTINCT root, warehouse, depth, node, privilege, array_to_string(path, ' -> ') AS p FROM w JOIN wh ON wh.role = w.node)
+  SELECT root AS master_role, array_to_string(list_sort(list(DISTINCT warehouse)), ',') AS warehouses,
+    array_to_string(list_transform(list_sort(list({{'w': warehouse, 'd': depth, 'n': node, 'x': privilege, 'p': p}})), lambda s: s.w || ':' || s.p || ':' || s.x), ';') AS paths FROM j GROUP BY root""")
+def warehouse_map(spark, d):
+    out = access_map.build_warehouse_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _WAREHOUSES, "role, warehouse, privilege"))
+    text = F.transform("paths", lambda p: F.concat_ws(":", p["warehouse"], p["path_string"], p["privilege"]))
+    return out.select("master_role", F.array_join("warehouses", ",").alias("warehouses"), F.array_join(text, ";").alias("paths"))
+
+
+@query("inherited_warehouses", f"""{_MASTERS} SELECT root, array_to_string(list_sort(list(DISTINCT warehouse)), ',') AS warehouses, array_to_string(list_sort(list(DISTINCT node)), ',') AS via_roles
+  FROM w JOIN wh ON wh.role = w.node GROUP BY root""")
+def inherited_warehouses(spark, d):
+    edges = _inline(spark, _ROLE_EDGES, "parent, child")
+    out = access_map.inherited_warehouses(edges, graph.prefix_roots(edges, "parent", "FARMERS"), _inline(spark, _WAREHOUSES, "role, warehouse, privilege"))
+    return out.select("root", F.array_join("warehouses", ",").alias("warehouses"), F.array_join("via_roles", ",").alias("via_roles"))
+
+
+@query("multi_parent", f"WITH e(parent, child) AS (VALUES {_values(_ROLE_EDGES)}) SELECT child, count(DISTINCT parent) AS parents FROM e GROUP BY 1 HAVING count(DISTINCT parent) > 1")
+def multi_parent(spark, d):
+    return graph.multi_parent(_inline(spark, _ROLE_EDGES, "parent, child"))
+
+
+@query("dup_check", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_check(spark, d):
+    return upsert.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+_TREE = [("frms1", "b"), ("b", "d"), ("frms1", "c"), ("c", "d"), ("c", "e")]
+
+
+@query("tree_json", """SELECT 'frms1' AS root, '{"parent":"frms1","children":[{"role":"b","children":[{"role":"d"}]},{"role":"c","children":[{"role":"d"},{"role":"e"}]}]}' AS tree""")
+def tree_json(spark, d):
+    return graph.tree_json(_inline(spark, _TREE, "parent, child"))
+
+
+_GRIDS = [("one", ["11110", "11010", "11000", "00000"]), ("three", ["11000", "11000", "00100", "00011"]), ("none", ["000"]), ("single", ["1"]), ("eight", ["10101", "01010", "10101"])]
+_CELLS = [(g, r, c) for g, rows in _GRIDS for r, line in enumerate(rows) for c, x in enumerate(line) if x == "1"]
+
+
+@query("islands", f"""WITH RECURSIVE l(g, r, c) AS (VALUES {", ".join(f"('{g}', {r}, {c})" for g, r, c in _CELLS)}),
+  w(g, r, c, a) AS (SELECT g, r, c, r * 100 + c FROM l UNION SELECT l.g, l.r, l.c, w.a FROM w JOIN l ON l.g = w.g AND abs(l.r - w.r) + abs(l.c - w.c) = 1)
+  SELECT g AS grid_id, count(DISTINCT m) AS islands FROM (SELECT g, r, c, min(a) AS m FROM w GROUP BY ALL) GROUP BY g""")
+def islands(spark, d):
+    return graph.islands(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{g}', {r}, {c})" for g, r, c in _CELLS) + " AS t(grid_id, r, c)"))
+
+
+_CASES = [("1", "0", "1"), ("2", "0", "1"), ("2", "1", "0"), ("3", "0", "1"), ("3", "0", "2"), ("3", "1", "3"), ("3", "2", "3"), ("4", "0", "1"), ("4", "1", "2"), ("4", "2", "0"), ("4", "2", "3")]
+
+
+@query("cycle_check", f"""WITH RECURSIVE e(k, a, b) AS (VALUES {_values(_CASES)}), w(k, a, b) AS (SELECT k, a, b FROM e UNION SELECT w.k, w.a, e.b FROM w JOIN e ON e.k = w.k AND e.a = w.b)
+  SELECT k AS case_id, NOT bool_or(a = b) AS can_finish FROM w GROUP BY k""")
+def cycle_check(spark, d):
+    return graph.can_finish(_inline(spark, _CASES, "case_id, parent, child"))
+
+
+@query("expr_eval", """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + greatest(l_quantity, 10) AS a,
+    (l_quantity - 25) - 7 * floor((l_quantity - 25) / 7) AS b, -l_quantity + abs(l_tax - 0.05) / 2 AS c FROM lineitem""")
+def expr_eval(spark, d):
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", evaluate("l_extendedprice * (1 - l_discount) + max(l_quantity, 10)").alias("a"),
+        evaluate("(l_quantity - 25) % 7").alias("b"), evaluate("-l_quantity + abs(l_tax - 0.05) / 2 ").alias("c"))
+
+
+@query("template_render", """SELECT c_custkey, 'Dear ' || upper(c_name) || ': ' || CASE WHEN c_mktsegment = 'BUILDING' THEN '<b>builder</b>' ELSE replace('A&B ' || c_mktsegment, '&', '&amp;') END || '; nation ' || c_nationkey AS text FROM customer""")
+def template_render(spark, d):
+    rows = table(spark, d, "customer").withColumn("other", F.concat(F.lit("A&B "), "c_mktsegment"))
+    source = "Dear {{ c_name | upper }}: {% if c_mktsegment == 'BUILDING' %}<b>builder</b>{% else %}{{ other }}{% endif %}; nation {{ c_nationkey }}{# note #}"
+    return rows.select("c_custkey", render_template(source, rows).alias("text"))
+
+
+def _nation_news(spark, d):
+    nation = table(spark, d, "nation")
+    return nation.where("n_nationkey % 3 = 0").select("n_nationkey", F.upper(F.concat("n_name", F.lit("!"))).alias("n_name"), "n_regionkey").union(nation.where("n_nationkey < 3").select(F.col("n_nationkey") + 100, "n_name", "n_regionkey"))
+
+
+_NEWS = "(SELECT n_nationkey, upper(n_name || '!') AS n_name, n_regionkey FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey FROM nation WHERE n_nationkey < 3)"
+
+
+@query("upsert", f"SELECT coalesce(s.n_nationkey, t.n_nationkey) AS n_nationkey, coalesce(s.n_name, t.n_name) AS n_name, coalesce(s.n_regionkey, t.n_regionkey) AS n_regionkey FROM nation t FULL JOIN {_NEWS} s ON t.n_nationkey = s.n_nationkey")
+def upsert_query(spark, d):
+    return upsert.merge(table(spark, d, "nation"), _nation_news(spark, d), ["n_nationkey"])
+
+
+@query("upsert_insert_only", f"SELECT coalesce(t.n_nationkey, s.n_nationkey) AS n_nationkey, coalesce(t.n_name, s.n_name) AS n_name, coalesce(t.n_regionkey, s.n_regionkey) AS n_regionkey FROM nation t FULL JOIN {_NEWS} s ON t.n_nationkey = s.n_nationkey")
+def upsert_insert_only(spark, d):
+    return upsert.merge(table(spark, d, "nation"), _nation_news(spark, d), ["n_nationkey"], update=False)
+
+
+@query("update_column", f"SELECT t.n_nationkey, coalesce(s.n_name, t.n_name) AS n_name, t.n_regionkey FROM nation t LEFT JOIN {_NEWS} s ON t.n_nationkey = s.n_nationkey")
+def update_column(spark, d):
+    return upsert.update_column(table(spark, d, "nation"), _nation_news(spark, d), ["n_nationkey"], "n_name")
+
+
+@query("windowed_totals", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY ALL")
+def windowed_totals(spark, d):
+    return _doubles(event_streams.windowed_totals(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")))
+
+
+@query("lru_replay")
+def lru_replay(spark, d):
+    log = table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("cache_id"), F.col("event_id").cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "put").otherwise("get").alias("op"), (F.col("event_id") % 7).cast("long").alias("key"), F.col("event_id").cast("long").alias("value"))
+    return lru.replay(log, 3)
