@@ -303,19 +303,19 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         raise ValueError("length is at least 5")
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = min(20, max(3, int(total // BUCKET_BYTES).bit_length()))
-    base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text_col).alias("body"))  # new names: an alias that changes nothing would be dropped on one side only, and the shuffle below not shared
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // (64 << 20)))
     # one shuffle of the texts serves both joins below, as both see the same filtered rows
     placed = base.where("doc is not null").repartition(parts, "doc")
     some = lambda c: F.collect_list(c).alias(c)
 
-    sent = base.where("doc is not null and text is not null").mapInArrow(_send_suffixes(bits, length), _PACKED)
+    sent = base.where("doc is not null and body is not null").mapInArrow(_send_suffixes(bits, length), _PACKED)
     first = sent.groupBy("bucket").applyInArrow(_settle_suffixes(bits), "doc long, same binary, open binary").groupBy("doc").agg(some("same"), some("open"))
-    sent = placed.join(first.where(F.size("open") > 0), "doc").select("doc", "text", "same", "open").mapInArrow(_send_windows(bits, length), _PACKED)
+    sent = placed.join(first.where(F.size("open") > 0), "doc").select("doc", "body", "same", "open").mapInArrow(_send_windows(bits, length), _PACKED)
     second = sent.groupBy("bucket").applyInArrow(_settle_windows, "doc long, windows binary").groupBy("doc").agg(some("windows"))
-    every = placed.join(first, "doc", "left").join(second, "doc", "left").select("doc", "text", "same", "open", "windows")
+    every = placed.join(first, "doc", "left").join(second, "doc", "left").select("doc", "body", "same", "open", "windows")
     untold = [F.lit(None).cast("array<binary>").alias(c) for c in ("same", "open", "windows")]
-    every = every.union(base.where("doc is null").select("doc", "text", *untold))
+    every = every.union(base.where("doc is null").select("doc", "body", *untold))
     out = every.mapInArrow(_take_out(bits, length, with_bytes), "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
     return out.withColumnRenamed("doc", key)
 
