@@ -10,7 +10,7 @@ A document's set is its distinct word k-shingles (with fewer words, the whole se
 * Bands are hashed to buckets; in each bucket every class is paired with the least class only (a star).
 * Pairs are confirmed on whole sets rebuilt from the texts. Where a bucket still holds classes of different components
   after that, the pairs across components that share at least ``AGAIN`` bands are confirmed too, so no link is lost that
-  the buckets can show.
+  the buckets can show; how each class differs from the least class of the bucket rules out most such pairs beforehand.
 
 Defined cases: a null, empty or wordless text has an empty set, is linked with nothing and is kept; rows with equal doc_id
 are one document as far as groups go (each row comes back); a null doc_id belongs to no group and is kept, its
@@ -19,10 +19,12 @@ component_id is null; extra columns pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ BANDS, ROWS = 24, 4
 SMALL = 256
 #: Bands that two classes share before they are confirmed outside a star; similar ones share about 12 of 24.
 AGAIN = 3
+#: Longs in a bitmap of the shingles in which a class differs from the least class of its bucket.
+MARKS = 2
+_COMPARED = ("linked", "n_a", "missing", "extra", *(f"gone{j}" for j in range(MARKS)), *(f"new{j}" for j in range(MARKS)))
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _BINS = BANDS * ROWS
@@ -135,31 +140,64 @@ def sketches(docs: DataFrame, k: int, percent: int, key: str, text_col: str) ->
     return docs.select(F.col(key).cast("long"), text_col).mapInArrow(run, "doc long, n long, name1 long, name2 long, keys array<long>, keys2 array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; texts: (doc, text), one row for each doc."""
-    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def packed(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(doc, body): texts compressed one by one, as they are moved several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            last, have = None, None
-            out: list[int] = []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress(x.as_py().encode()) for x in batch.column(1)], pa.binary())], names=["doc", "body"])
+
+    return docs.select(F.col(key).cast("long").alias("doc"), text_col).where(F.col("doc").isNotNull() & F.col(text_col).isNotNull()).mapInArrow(run, "doc long, body binary")
+
+
+def compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Every pair (a, b) compared on whole sets: linked, n_a (size of a), missing and extra (what b lacks and adds), and
+    bitmaps of MARKS longs each of the shingles missing and extra."""
+    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("body").alias("body_b")).hint("merge"), "b")
+    both = right.join(texts.select(F.col("doc").alias("a"), F.col("body").alias("body_a")).hint("merge"), "a").select("a", "b", "body_a", "body_b")
+
+    def marks(shingles: set[bytes]) -> int:
+        out = 0
+        for x in shingles:
+            out |= 1 << zlib.crc32(x) % (64 * MARKS)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        read = lambda x: exact_set(expand.decompress(x.as_py()), k)
+        for batch in batches:
+            a, last, have = batch.column(0).to_pylist(), None, None
+            rows = []
             for i in range(len(a)):
                 if a[i] != last:
-                    last, have = a[i], exact_set(batch.column(2)[i].as_py(), k)
-                other = exact_set(batch.column(3)[i].as_py(), k)
+                    last, have = a[i], read(batch.column(2)[i])
+                other = read(batch.column(3)[i])
                 common = len(have & other)
-                if common and 100 * common >= percent * (len(have) + len(other) - common):
-                    out.append(i)
-            yield pa.RecordBatch.from_arrays([tx.int64s([a[i] for i in out]), tx.int64s([b[i] for i in out])], names=["a", "b"])
+                gone, new = have - other, other - have
+                bits = [(m >> 64 * j & 0xFFFFFFFFFFFFFFFF) for m in (marks(gone), marks(new)) for j in range(MARKS)]
+                rows.append((common > 0 and 100 * common >= percent * (len(have) + len(other) - common), len(have), len(gone), len(new), *(x - (x >> 63 << 64) for x in bits)))
+            kinds = [pa.bool_(), *[pa.int64()] * (3 + 2 * MARKS)]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["a", "b", *_COMPARED])
+
+    return both.mapInArrow(run, "a long, b long, linked boolean, " + ", ".join(f"{c} long" for c in _COMPARED[1:]))
+
 
-    return both.mapInArrow(run, "a long, b long")
+def may_link(percent: int):
+    """Whether two classes x and y can be linked, given how each differs from the same class a: an upper bound of what they
+    share. What either lacks of a is not shared; nor is an extra shingle whose mark the other's extras do not have."""
+    count = lambda c: F.bit_count(c).cast("long")
+    col = lambda c, s: F.coalesce(F.col(f"{c}_{s}"), F.lit(0))
+    lost = sum((count(col(f"gone{j}", "x").bitwiseOR(col(f"gone{j}", "y"))) for j in range(MARKS)), F.lit(0))
+    own = lambda s, t: col("extra", s) - sum((count(col(f"new{j}", s).bitwiseAND(F.bitwise_not(col(f"new{j}", t)))) for j in range(MARKS)), F.lit(0))
+    shared = F.col("n_a") - lost + F.least(own("x", "y"), own("y", "x"))
+    return shared * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y"))
 
 
-def exact_set(text: str | None, k: int) -> set[bytes]:
+def exact_set(raw: bytes, k: int) -> set[bytes]:
     """The set itself, not hashes of it."""
-    w = (text or "").encode().translate(tx.LOWER.tobytes()).split()
+    w = raw.translate(tx.LOWER.tobytes()).split()
     if len(w) < k:
         return {b" ".join(w)} if w else set()
     return set(map(b" ".join, zip(*(w[j:] for j in range(k)), strict=False)))
@@ -180,27 +218,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     members = heads.select("doc", F.explode(F.concat(F.coalesce("keys", F.array().cast("array<bigint>")), F.coalesce("keys2", F.array().cast("array<bigint>")))).alias("bucket"))
     members = members.select("doc", "bucket")
     least = members.groupBy("bucket").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("bucket", "a")
-    shared = cut(members.join(least, "bucket"))
+    shared = cut(members.join(least, "bucket"))  # (bucket, doc, a): a is the least class of the bucket
     pairs = shared.where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
     asked = cut(pairs)
     wanted = asked.select(F.col("a").alias("doc")).union(asked.select("b")).distinct()
-    text = docs.select(F.col(key).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    texts = cut(text.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]))
-    links = cut(confirm(asked.select("a", "b"), texts, k, percent))
+    texts = cut(packed(docs, key, text_col).join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]))
+    seen = cut(compare(asked.select("a", "b"), texts, k, percent))
+    links = seen.where("linked").select("a", "b")
     part = connected_components(links, "a", "b")
 
-    # buckets in which components still meet: their pairs across components
-    named = shared.join(part.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", _or_self("component").alias("component"))
+    # buckets in which components still meet: their pairs across components, less those that the bound rules out
+    named = shared.join(part.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "a", "doc", _or_self("component").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_rows = cut(named.join(mixed, "bucket").join(heads.select("doc", "n", "keys", "keys2"), "doc"))
-    one, two = (open_rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "component", "n", "keys", "keys2"))) for s in ("a", "b"))
-    meet = F.array_intersect(F.coalesce("keys_a", "keys2_a"), F.coalesce("keys_b", "keys2_b"))
-    meet2 = F.array_intersect(F.coalesce("keys2_a", "keys_a"), F.coalesce("keys2_b", "keys_b"))
+    open_rows = named.where("doc <> a").join(mixed, "bucket").join(heads.select("doc", "n", "keys", "keys2"), "doc")
+    open_rows = cut(open_rows.join(seen.drop("linked").withColumnRenamed("b", "doc"), ["a", "doc"]))
+    each = ("doc", "component", "n", "keys", "keys2", *_COMPARED[2:])
+    one, two = (open_rows.select("bucket", *(["n_a"] if s == "x" else []), *(F.col(c).alias(f"{c}_{s}") for c in each)) for s in "xy")
+    meet = F.array_intersect(F.coalesce("keys_x", "keys2_x"), F.coalesce("keys_y", "keys2_y"))
+    meet2 = F.array_intersect(F.coalesce("keys2_x", "keys_x"), F.coalesce("keys2_y", "keys_y"))
     first = F.when(F.size(meet) >= AGAIN, meet[0]).when(F.size(meet2) >= AGAIN, meet2[0])
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b"))
-    across = one.join(two, "bucket").where(fits).where(first == F.col("bucket"))
-    across = across.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-    more = confirm(cut(across), texts, k, percent)
+    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("doc_x") < F.col("doc_y")) & (F.col("component_x") != F.col("component_y")) & may_link(percent)
+    across = one.join(two, "bucket").where(fits & (first == F.col("bucket")))
+    across = across.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
+    more = compare(cut(across), texts, k, percent).where("linked").select("a", "b")
     groups = connected_components(links.union(more).union(same.where("a <> b")), "a", "b").withColumnRenamed("node", "doc")
     out = found.select("doc", "n").join(groups, "doc", "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), _or_self("component").alias("component_id"), F.coalesce(F.col("doc") == _or_self("component"), F.lit(True)).alias("kept"))
