@@ -177,7 +177,7 @@ def write_csv_files(df: DataFrame, local_dir: str, base: str, records_per_file:
     chunk = F.floor(F.col("_n") / records_per_file)
     staged = f"{local_dir.rstrip('/')}/.{base}-{time.time_ns()}"
     rows = numbered.withColumn("_chunk", chunk).repartition("_chunk").sortWithinPartitions("_chunk", "_n")
-    options = {"header": include_header, "sep": delimiter, "quoteAll": quote_all, "escape": '"', "emptyValue": "", "lineSep": "\r\n", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
+    options = {"header": include_header, "sep": delimiter, "quoteAll": quote_all, "escape": '"', "emptyValue": "", "lineSep": "\r\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
     rows.drop("_n").write.options(**options).partitionBy("_chunk").csv(staged)
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(staged)
