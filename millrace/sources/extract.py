@@ -173,17 +173,20 @@ def write_csv_files(df: DataFrame, local_dir: str, base: str, records_per_file:
     """
     spark = df.sparkSession
     keys = order or tuple(df.columns)
-    numbered = number_rows(df, keys)
-    chunk = F.floor(F.col("_n") / records_per_file)
+    line = csv_line(df, delimiter, quote_all)
+    numbered = number_rows(df, keys).withColumn("_chunk", F.floor(F.col("_n") / records_per_file))
     staged = f"{local_dir.rstrip('/')}/.{base}-{time.time_ns()}"
-    rows = numbered.withColumn("_chunk", chunk).repartition("_chunk").sortWithinPartitions("_chunk", "_n")
-    options = {"header": include_header, "sep": delimiter, "quoteAll": quote_all, "escape": '"', "emptyValue": "", "lineSep": "\r\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
-    rows.drop("_n").write.options(**options).partitionBy("_chunk").csv(staged)
+    rows = numbered.select("_chunk", "_n", line.alias("_line")).repartition("_chunk").sortWithinPartitions("_chunk", "_n")
+    if include_header:
+        head = delimiter.join(_quoted(c, delimiter, quote_all) for c in df.columns)
+        first = F.col("_n") % records_per_file == 0
+        rows = rows.withColumn("_line", F.explode(F.when(first, F.array(F.lit(head), F.col("_line"))).otherwise(F.array("_line"))))
+    rows.select("_chunk", "_line").write.option("lineSep", "\r\n").partitionBy("_chunk").text(staged)
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(staged)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files = []
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/_chunk=*/part-*.csv")) or []:
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/_chunk=*/part-*")) or []:
         n = int(status.getPath().getParent().getName().partition("=")[2])
         target = jvm.org.apache.hadoop.fs.Path(f"{local_dir.rstrip('/')}/{base}_{n + 1}.csv")
         fs.delete(target, False)
@@ -194,6 +197,31 @@ def write_csv_files(df: DataFrame, local_dir: str, base: str, records_per_file:
     return [f for _, f in sorted(files)]
 
 
+def _quoted(text: str, delimiter: str, always: bool) -> str:
+    return '"' + text.replace('"', '""') + '"' if always or any(c in text for c in (delimiter, '"', "\r", "\n")) else text
+
+
+def csv_line(df: DataFrame, delimiter: str = ",", quote_all: bool = False):
+    """A row as CSV text: quotes doubled, null empty, line ends inside a field kept as they are. Spark's own writer changes
+    those to the line separator. Floats read as Spark prints them."""
+
+    def text(f):
+        c, kind = F.col(f"`{f.name}`"), f.dataType.simpleString()
+        if kind == "boolean":
+            return F.when(c, "True").when(~c, "False")
+        if kind.startswith("timestamp"):
+            return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        return c.cast("string")
+
+    def quoted(c):
+        c = F.coalesce(c, F.lit(""))
+        wrapped = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+        needs = F.lit(quote_all) | F.contains(c, F.lit(delimiter)) | c.rlike('["\\r\\n]')
+        return F.when(needs, wrapped).otherwise(c)
+
+    return F.concat_ws(delimiter, *(quoted(text(f)) for f in df.schema.fields))
+
+
 def number_rows(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """With _n: 0, 1, ... in the order of the columns. Rows are range-partitioned and numbered within partitions."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
