@@ -91,6 +91,25 @@ def suggest(queries: DataFrame, dictionary: DataFrame, k: int = 5, max_distance:
     return exact.unionByName(scored.withColumn("place", place).where(F.col("place") <= k).select("word", "suggestion", "distance", "place"))
 
 
+class SpellChecker:
+    """A dictionary to ask again and again: words (word) and, optionally, frequencies (word, frequency). A word that only the
+    frequencies have is known too."""
+
+    def __init__(self, words: DataFrame, frequencies: DataFrame | None = None) -> None:
+        rows = words.select("word", F.lit(0).cast("long").alias("frequency"))
+        if frequencies is not None:
+            rows = rows.union(frequencies.select("word", F.col("frequency").cast("long")))
+        self.dictionary = rows.groupBy("word").agg(F.max("frequency").alias("frequency"))
+
+    def is_known(self, queries: DataFrame) -> DataFrame:
+        """(word, known)."""
+        told = self.dictionary.select("word", F.lit(True).alias("_known"))
+        return queries.select("word").join(told, "word", "left").select("word", F.coalesce("_known", F.lit(False)).alias("known"))
+
+    def suggest(self, queries: DataFrame, k: int = 5, max_distance: float = 3.0) -> DataFrame:
+        return suggest(queries, self.dictionary, k, max_distance)
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str = "name", right_key: str = "name", left_id: str = "left_id", right_id: str = "right_id", threshold: float = 0.55, block_chars: int = 2) -> DataFrame:
     """Outer join on similar names: (left_id, left_name, right_id, right_name, score, status).
 

@@ -36,3 +36,18 @@ def evaluate_against_truth(scored: DataFrame, truth: str, flag: str = "outlier",
     n = scored.agg(F.count_if(is_true & said).alias("tp"), F.count_if(~is_true & said).alias("fp"), F.count_if(is_true & ~said).alias("fn"))
     ratio = lambda d: F.coalesce(F.bround(F.try_divide(F.col("tp").cast("double"), d), digits), F.lit(0.0))
     return n.withColumn("precision", ratio(F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp") + F.col("fn")))
+
+
+def iqr_flags(df: DataFrame, value_col: str = "value", group_col: str | None = None, k: float = 1.5) -> DataFrame:
+    """With iqr alone. There is no guard for zero spread: any other value than the quartiles' is flagged then."""
+    return detect_outliers(df, value_col, group_col, k=k).select(*df.columns, "iqr")
+
+
+def zscore_flags(df: DataFrame, value_col: str = "value", group_col: str | None = None, threshold: float = 3.0) -> DataFrame:
+    """With zscore alone; without spread nothing is flagged."""
+    return detect_outliers(df, value_col, group_col, z=threshold).select(*df.columns, "zscore")
+
+
+def mad_flags(df: DataFrame, value_col: str = "value", group_col: str | None = None, threshold: float = 3.5) -> DataFrame:
+    """With mad alone; without spread nothing is flagged."""
+    return detect_outliers(df, value_col, group_col, mad=threshold).select(*df.columns, "mad")

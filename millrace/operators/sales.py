@@ -69,3 +69,12 @@ def mean_curve(matrix: DataFrame, known_only: bool = False) -> DataFrame:
     names = [c for c in matrix.columns if c[0] == "m" and c[1:].isdigit()]
     long = matrix.select(F.explode(F.array(*(F.struct(F.lit(int(c[1:])).alias("period"), F.col(c).alias("value")) for c in names))).alias("x")).select("x.*")
     return long.where("value > 0" if known_only else "true").groupBy("period").agg(F.avg("value").alias("retention"))
+
+
+def render_retention(matrix: DataFrame, max_periods: int = 8) -> str:
+    """A retention matrix as text, one line a cohort; a matrix is a report of few rows."""
+    names = [c for c in matrix.columns if c[0] == "m" and c[1:].isdigit()][:max_periods]
+    lines = ["cohort    size " + " ".join(f"{c:>6}" for c in names)]
+    for r in matrix.orderBy("cohort").select(F.date_format("cohort", "yyyy-MM").alias("cohort"), "cohort_size", *names).toLocalIterator():
+        lines.append(f"{r.cohort:<8} {r.cohort_size:>6} " + " ".join(f"{r[c]:>6.1f}" for c in names))
+    return "\n".join(lines)

@@ -194,3 +194,26 @@ def test_yoy_and_pivot_edges(spark):
     assert got == [("a", 50.0), ("c", -100.0), ("b", None)]
     wide = sales.monthly_pivot(rows, ["p"], F.col("y"), [2024, 2025], "v").orderBy("p").collect()
     assert [tuple(r) for r in wide] == [("a", 100.0, 150.0), ("b", 0.0, 5.0), ("c", 3.0, 0.0)]
+
+
+def test_refresh_merges_versions(spark, tmp_path):
+    edges, grants = (catalog._inline(spark, rows, names) for rows, names in ((catalog._ROLE_EDGES, "parent, child"), (catalog._GRANTS, "role, database, schema, privilege")))
+    path, status = access_map.refresh_access_map(edges, grants, str(tmp_path))
+    assert spark.read.parquet(path).count() == 5 and status.startswith("access map: 5 rows built, 5 rows")
+    fewer = grants.where("database <> 'DB3'")
+    again, status = access_map.refresh_access_map(edges, fewer, str(tmp_path), spark.read.parquet(path))
+    assert spark.read.parquet(again).count() == 5 and "3 rows built" in status
+    assert spark.read.parquet(access_map.refresh_access_map(edges, fewer, str(tmp_path), spark.read.parquet(path), delete_missing=True)[0]).count() == 3
+    wh = catalog._inline(spark, catalog._WAREHOUSES, "role, warehouse, privilege")
+    assert "warehouse map: 2 rows built" in access_map.refresh_warehouse_map(edges, wh, str(tmp_path))[1]
+
+
+def test_thin_interfaces(spark):
+    frame = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, 2, 1, 99)], "g string, value double")
+    assert [outliers.iqr_flags(frame).where("iqr").count(), outliers.mad_flags(frame, group_col="g").where("mad").count(), outliers.zscore_flags(frame, threshold=2.0).where("zscore").count()] == [1, 1, 1]
+    checker = fuzzy.SpellChecker(spark.createDataFrame([("hello",)], "word string"), spark.createDataFrame([("help", 3)], "word string, frequency int"))
+    asked = spark.createDataFrame([("help",), ("helo",)], "word string")
+    assert {tuple(r) for r in checker.is_known(asked).collect()} == {("help", True), ("helo", False)}
+    assert [r.suggestion for r in checker.suggest(asked).where("word = 'helo'").orderBy("place").collect()] == ["help", "hello"]
+    tx = spark.sql("SELECT * FROM VALUES (1, timestamp_ntz'2025-01-05'), (1, timestamp_ntz'2025-02-01') AS t(user_id, ts)")
+    assert sales.render_retention(sales.cohort_retention(tx, max_periods=3)).splitlines()[1].split() == ["2025-01", "1", "100.0", "100.0", "0.0"]
