@@ -32,9 +32,11 @@ from pyspark.sql import functions as F
 from millrace.llm import text as tx
 
 #: Anchors that a task gathers before it sorts and sends them.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Bytes of text for each bucket, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Bytes of text worked on at once, about; some fifteen arrays of eight bytes each go with one byte.
+CHUNK = 1 << 19
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -182,7 +184,7 @@ def _send_suffixes(bits: int, length: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in tx.chunks(batch.column(1)):
+            for first, _, data, offsets in tx.chunks(batch.column(1), CHUNK):
                 a = Anchors(data, offsets, length)
                 held.append((a.hash, a.context & _LOW48, ids[first + a.row].astype(np.int64)))
                 if sum(len(x[0]) for x in held) >= BLOCK:
@@ -240,7 +242,7 @@ def _send_windows(bits: int, length: int):
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, end, data, offsets in tx.chunks(batch.column(1)):
+            for first, end, data, offsets in tx.chunks(batch.column(1), CHUNK):
                 a = Anchors(data, offsets, length)
                 name = a.classes(bits)
                 at = a.windows(np.flatnonzero(_among(a.row, name, _told(batch.column(3), first, end))), _among(a.row, name, _told(batch.column(2), first, end)))
@@ -266,7 +268,7 @@ def _take_out(bits: int, length: int, with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
-            for first, end, data, offsets in tx.chunks(batch.column(1)):
+            for first, end, data, offsets in tx.chunks(batch.column(1), CHUNK):
                 turn = np.zeros(len(data) + 1, np.int32)
                 same, windows = _told(batch.column(2), first, end), _told(batch.column(4), first, end)
                 if len(same[1]) or len(windows[1]):
