@@ -247,3 +247,22 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_decontaminate": op6_decontaminate}
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bk AS (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS t FROM bk),
+sizes AS (SELECT DISTINCT n FROM win),
+dk AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM w, sizes WHERE len(w) >= n),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') AS t FROM dk),
+hits AS (SELECT dw.doc_id, dw.n, dw.k, win.item_id FROM dw JOIN win ON dw.t = win.t AND dw.n = win.n),
+places AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM hits),
+c AS (SELECT doc_id, count(*) AS n_hit FROM places GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
+FROM w LEFT JOIN c ON w.doc_id = c.doc_id LEFT JOIN i ON w.doc_id = i.doc_id
+"""
+
+SQL = {"op6_decontaminate": OP6_SQL}

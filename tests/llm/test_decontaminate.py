@@ -58,3 +58,12 @@ def test_empty_tables(spark):
     assert [r.n_hit for r in d.find_contamination(docs, none).collect()] == [0]
     assert d.find_contamination(docs.limit(0), none).count() == 0
     assert d.remove_contaminated(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
+def test_query_matches_its_sql(spark):
+    import duckdb
+
+    base, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{base}/{t}.parquet'")
+    assert {tuple(r) for r in d.op6_decontaminate(spark, base).collect()} == set(con.sql(d.OP6_SQL).fetchall())
