@@ -2,8 +2,10 @@
 
 Every rolling pair of words of a text is hashed and joined to the positions of the same pair in the templates. A match at
 word i of the text and word j of a template votes for the diagonal i - j. Votes add up by (document, template, diagonal,
-stretch of text); neighbouring diagonals, which a word more or less in the text gives, merge; and a merged span stands if
-its votes cover enough of the template. Phrases of the base list stand only where all their words follow each other.
+stretch of text); neighbouring diagonals, which a word more or less in the text gives, merge; and a merged span whose votes
+cover enough of the template is verified: it stands if one diagonal has the whole template, or if its words are near the
+template's by word edit distance and the words that tell licenses apart (``TELLING``) are the template's, in order. Phrases
+of the base list stand only where all their words follow each other.
 
 All of it is DataFrame functions. Templates are a fixed list, so the joined side has a known size.
 
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.checkpoints import cut
+
 # Phrases that must be found word for word.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Passages of well-known notices, with the label each stands for.
@@ -36,6 +40,10 @@ TEMPLATES = {
 COVER = 0.8
 #: Diagonals this near merge.
 NEAR = 2
+#: Words that tell one license from another; a minor version 0 may be left out.
+TELLING = "^(cc|cc0|nc|sa|nd|apache|mit|bsd|mozilla|lesser|library|affero|gpl|lgpl|agpl|[1-9][0-9]?)$"
+#: Texts with none of these words have no span that lacks a pair of its template and still covers enough of it.
+_HAVE = "(?i)(^|[^a-z0-9])(license|licensed|cc|cc0|hereby|charge|redistribution|binary)($|[^a-z0-9])"
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
@@ -55,25 +63,44 @@ def words(column):
     return F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), _SEPARATORS), "")
 
 
+def verified(doubtful: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """Merged spans (row, template, left, right, ...) whose words are those of their template but for a few."""
+    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate([*BASE, *TEMPLATES]))
+    phrases = doubtful.sparkSession.sql(f"SELECT template, split(phrase, ' ') AS t FROM VALUES {values} AS t(template, phrase)")
+    both = doubtful.join(texts.where(F.col(text_col).rlike(_HAVE)).select("row", F.col(text_col).alias("body")), "row").join(F.broadcast(phrases), "template")
+    from_word = F.greatest(F.col("left"), F.lit(0))
+    both = both.withColumn("w", F.slice(words(F.col("body")), from_word + 1, F.col("right") - from_word + 1))
+    coded = lambda c: F.array_join(F.transform(c, lambda x: F.char(F.array_position("t", x) + 64)), "")
+    telling = lambda c: F.filter(c, lambda x: x.rlike(TELLING))
+    # each break costs a pair of words and has up to NEAR words more or less
+    most = NEAR * F.floor((1 - COVER) * F.col("pairs") + 1e-9)
+    return both.where((F.levenshtein(coded("w"), coded("t")) <= most) & (telling("w") == telling("t")))
+
+
 def spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (row, key, n_words) of the texts, and (row, label, exact, start, end, votes, pairs) of the spans that stand."""
     spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), words(F.col(text_col)).alias("w"))
+    raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.col(text_col))
+    texts = raw.select("row", key, words(F.col(text_col)).alias("w"))
     counted = texts.select("row", key, F.size("w").cast("long").alias("n_words"))
     hashes = F.transform(F.slice(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b")), 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda p: F.xxhash64(p["a"], p["b"]))
     pairs = texts.select("row", F.posexplode(hashes).alias("i", "pair"))
     votes = pairs.join(F.broadcast(template_pairs(spark)), "pair")  # the templates' word pairs: a fixed list
     votes = votes.withColumn("diagonal", F.col("i") - F.col("at"))
-    found = votes.groupBy("row", "template", "label", "exact", "pairs", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("i").alias("first"), F.max("i").alias("last"))
+    found = cut(votes.groupBy("row", "template", "label", "exact", "pairs", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("i").alias("first"), F.max("i").alias("last")))
     whole = found.where("exact and votes = pairs").select("row", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("pairs")).alias("end"), "votes", "pairs")
     # merge neighbours: a diagonal opens a new span unless the one before it, in order, is near
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     loose = found.where("not exact")
     loose = loose.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= NEAR, 0).otherwise(1))
     loose = loose.withColumn("span", F.sum("new").over(order))
-    merged = loose.groupBy("row", "template", "label", "exact", "pairs", "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 1).alias("end"))
-    merged = merged.where((F.col("votes") >= COVER * F.col("pairs")) & (F.col("end") - F.col("start") <= F.col("pairs") + 2 * NEAR + 2))
-    return counted, whole.union(merged.select("row", "label", "exact", "start", "end", "votes", "pairs"))
+    merged = loose.groupBy("row", "template", "label", "exact", "pairs", "span").agg(
+        F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 1).alias("end"), F.max("votes").alias("best"),
+        F.min_by("diagonal", "first").alias("left"), (F.max_by("diagonal", "last") + F.col("pairs")).alias("right"))
+    enough = (F.col("votes") >= COVER * F.col("pairs")) & (F.col("end") - F.col("start") <= F.col("pairs") + 2 * NEAR + 2)
+    near = verified(merged.where(enough & (F.col("best") < F.col("pairs"))), raw, text_col)
+    columns = ("row", "label", "exact", "start", "end", "votes", "pairs")
+    return counted, whole.union(merged.where("best = pairs").select(*columns)).union(near.select(*columns))
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,3 +49,18 @@ def test_edits_and_odd_rows(spark):
     labels = {r.n_words: r.labels for r in lic.license_scan(frame.where("text like 'Licensed under the very%'")).collect()}
     assert labels == {8 + 1: "apache,apache-2.0"}
     assert lic.license_scan(frame.limit(0)).count() == 0
+
+
+def test_spans_are_verified_against_the_words_of_their_template(spark):
+    gpl = "This work is licensed under the GNU General Public License version"
+    want = {
+        "Licensed under CC BY-SA 4.0": "cc-by-sa-4.0", "Licensed under CC BY-NC 4.0": "cc-by-nc-4.0", "Licensed under CC BY 4.0": "cc-by-4.0",
+        "Licensed under CC BY-ND 4.0": "", "Licensed under CC BY-NC-SA 4.0": "", "licensed under licensed under cc by 4 0": "cc-by-4.0", "licensed under the cc by 4 0": "cc-by-4.0",
+        "Licensed under the terms of Apache License, Version 2.0": "apache,apache-2.0", "Licensed under the Apache License, Version 2": "apache,apache-2.0",
+        "Licensed under the Apache License, Version 2.1": "apache",
+        f"{gpl} 3": "gpl,gpl-3.0", f"{gpl} 2": "gpl", gpl.replace("GNU", "GNU Lesser") + " 3": "gpl", gpl.replace("GNU", "GNU Affero") + " 3": "gpl",
+        gpl.replace("work", "fine work") + " 3 or later": "gpl,gpl-3.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in lic.license_scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
