@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Texts become lower-case letters with single spaces between words. One model of order ``ORDER`` per language is estimated
-from n-gram counts that executors gather over all labelled rows; a text goes to the language with the least cross-entropy
+from all n-gram counts, which executors gather over all labelled rows: none is left out, so every labelled language with a
+letter has its model, and the driver and the broadcast hold a row of each distinct n-gram; a text goes to the language with the least cross-entropy
 per character, and is rejected where even that is too far from what the language's own text has. Models are sorted arrays
 of n-gram hashes with a row of log probabilities (one per language) for each n-gram.
 
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from millrace.llm import text as tx
 
 ORDER = 4
-#: Most distinct (language, n-gram) pairs that a model keeps, the most frequent first: the bound of what is broadcast.
-MAX_GRAMS = 500_000
 #: A text may be this many times as far from its language's own cross-entropy as the nearest foreign language's text is: texts
 #: that mix languages or hold keys and misspellings stay, other scripts go.
 REJECT_AT = 1.0
@@ -197,9 +196,8 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> Models:
-    top = gram_counts(labelled, text_col, lang_col).orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    rows = top.toPandas()
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Models:
+    rows = gram_counts(labelled, text_col, lang_col).toPandas()
     languages = sorted(set(rows["lang"]))
     n_lang = len(languages)
     points = np.frombuffer("".join(rows["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)

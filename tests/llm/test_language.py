@@ -84,3 +84,17 @@ def test_foreign_script_is_rejected_and_empty_tables(spark):
     assert {r.lang_pred for r in g.identify(odd, nothing).collect()} == {"und"}
     assert g.identify(odd.limit(0), models).count() == 0
     assert g.keep_identified(docs).columns == docs.columns
+
+
+def test_no_n_gram_is_left_out_beside_a_language_with_many(spark):
+    rng = __import__("numpy").random.default_rng(3)
+    hot = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 600_000)))
+    small = "kleine Sprache mit wenigen Zeilen"
+    docs = spark.createDataFrame([(hot, "hot"), (hot, "hot"), (small, "small")], "text string, lang string")
+    models = g.fit(docs)
+    assert models.languages == ["hot", "small"] and len(models.log_p[g.ORDER - 1]) > 590_000
+    asked = spark.createDataFrame([(1, small), (2, hot[:500])], "doc_id long, text string")
+    got = {r.doc_id: r for r in g.identify(asked, models).collect()}
+    assert [(got[i].lang_pred, got[i].rejected) for i in (1, 2)] == [("small", False), ("hot", False)]
+    t, p = normal(small), brute_models([(small, "small"), (hot, "hot"), (hot, "hot")])["small"]
+    assert abs(got[1].cross_entropy + sum(log(p(t[i : i + 4])) for i in range(len(t) - 3)) / (len(t) - 3)) < 1e-4
