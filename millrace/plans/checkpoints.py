@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,12 @@ def cut(df: DataFrame, tidy: bool = False) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """A written table of few columns, marked for broadcast if it has few enough rows (some tens of MB); beyond that a join
+    with it stays a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the table behind a frame returned by :func:`cut`; for frames that no later job reads."""
     jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
