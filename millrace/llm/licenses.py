@@ -1,28 +1,35 @@
 """License passages in documents, by diagonal voting.
 
-Every rolling pair of words of a text is hashed and joined to the positions of the same pair in the templates. A match at
-word i of the text and word j of a template votes for the diagonal i - j. Votes add up by (document, template, diagonal,
-stretch of text); neighbouring diagonals, which a word more or less in the text gives, merge; and a merged span whose votes
-cover enough of the template is verified: it stands if one diagonal has the whole template, or if its words are near the
-template's by word edit distance and the words that tell licenses apart (``TELLING``) are the template's, in order. Phrases
-of the base list stand only where all their words follow each other.
+Every rolling run of words of a text (pairs for the short templates, runs of ``K`` words for the long ones) is hashed and
+joined to the positions of the same run in the templates. A match at word i of the text and word j of a template is a vote
+for the diagonal i - j, and votes add up by (row, template, diagonal). Neighbouring diagonals, which a word more or less in
+the text gives, merge: each diagonal opens a span that reaches over the next ``NEAR`` ones, so that a chain of many near
+diagonals gives overlapping spans, not one that is too long. Each span is then verified:
+
+* phrases of the base list stand where one diagonal has all their runs;
+* any other template stands where one diagonal has all its runs, or in a span that has ``COVER`` of the template's *distinct*
+  runs and whose words are near the template's by word edit distance, with the words that tell licenses apart (``TELLING``)
+  the template's in order.
 
 All of it is DataFrame functions. Templates are a fixed list, so the joined side has a known size.
 
-Defined cases: null and empty texts have no words, no labels and score 0; rows with equal doc_id are counted as one text
-each (rows are told apart by their position in the input); nulls elsewhere and extra columns do not matter.
+Defined cases: null and empty texts have no words, no labels and score 0; every row counts by itself, also where doc_id is
+null or repeated; rows are told apart by doc_id and text, so equal rows have equal results; texts of any length are scanned
+whole; nulls elsewhere and extra columns do not matter.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.plans.checkpoints import cut
+from millrace.plans.checkpoints import cut, small
 
 # Phrases that must be found word for word.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Passages of well-known notices, with the label each stands for.
+# The words of well-known license texts and notices, with the label each stands for.
 TEMPLATES = {
     "licensed under the apache license version 2 0": "apache-2.0",
     "this work is licensed under the gnu general public license version 3": "gpl-3.0",
@@ -31,30 +38,73 @@ TEMPLATES = {
     "licensed under cc by 4 0": "cc-by-4.0",
     "released under the mit license": "mit-notice",
     "all rights reserved": "all-rights-reserved",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit-text",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd",
-    "subject to the terms of the mozilla public license": "mpl",
+    "subject to the terms of the mozilla public license v 2 0": "mpl-2.0",
     "dedicated to the public domain under cc0": "cc0",
 }
-#: Share of a template's word pairs that a span must have.
+# Texts of licenses as their publishers give them.
+TEXTS = {
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
+        this permission notice shall be included in all copies or substantial portions of the Software.""",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this
+        list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
+        required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
+        BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+        language governing permissions and limitations under the License.""",
+    "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+        later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+        details.""",
+    "lgpl-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your
+        option) any later version.""",
+    "mpl-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for
+        any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+        restrictions.""",
+    "boost": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+        transmit the Software, and to prepare derivative works of the Software.""",
+}
+#: Words of a run of the long templates; the short ones have pairs.
+K = 4
+#: Share of a template's runs that a span must have.
 COVER = 0.8
-#: Diagonals this near merge.
-NEAR = 2
+#: Diagonals that a span may reach over: a few words more or less within it.
+NEAR = 4
 #: Words that tell one license from another; a minor version 0 may be left out.
 TELLING = "^(cc|cc0|nc|sa|nd|apache|mit|bsd|mozilla|lesser|library|affero|gpl|lgpl|agpl|[1-9][0-9]?)$"
-#: Texts with none of these words have no span that lacks a pair of its template and still covers enough of it.
-_HAVE = "(?i)(^|[^a-z0-9])(license|licensed|cc|cc0|hereby|charge|redistribution|binary)($|[^a-z0-9])"
 _SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
-def template_pairs(spark) -> DataFrame:
-    """(pair, template, at, pairs, label, exact): each rolling word pair of each template."""
-    rows = [(t, label, True) for t, label in BASE.items()] + [(t, label, False) for t, label in TEMPLATES.items()]
-    values = ", ".join(f"({i}, '{t}', '{label}', {str(exact).lower()})" for i, (t, label, exact) in enumerate(rows))
-    table = spark.sql(f"SELECT * FROM VALUES {values} AS t(template, phrase, label, exact)")
-    w = F.split("phrase", " ")
-    table = table.select("template", "label", "exact", w.alias("w"), F.explode(F.sequence(F.lit(0), F.size(w) - 2)).alias("at"))
-    return table.select(F.xxhash64(F.element_at("w", F.col("at") + 1), F.element_at("w", F.col("at") + 2)).alias("pair"), "template", "at", (F.size("w") - 1).alias("pairs"), "label", "exact")
+def template_rows() -> list[tuple[int, list[str], str, bool, int]]:
+    """(template, words, label, exact, words of a run)."""
+    long = [(re.findall("[a-z0-9]+", t.lower()), label, False, K) for label, t in TEXTS.items()]
+    short = [(t.split(" "), label, exact, 2) for exact, group in ((True, BASE), (False, TEMPLATES)) for t, label in group.items()]
+    return [(i, *x) for i, x in enumerate(short + long)]
+
+
+def template_runs(spark) -> DataFrame:
+    """(run, template, at, runs, k, label, exact): each rolling run of each template."""
+    rows = spark.createDataFrame(template_rows(), "template int, t array<string>, label string, exact boolean, k int").withColumn("runs", F.size("t") - F.col("k") + 1)
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    run = lambda k: F.xxhash64(F.lit(k), *(F.get("t", F.col("at") + j) for j in range(k)))
+    return rows.select(F.when(F.col("k") == 2, run(2)).otherwise(run(K)).alias("run"), "template", "at", "runs", "k", "label", "exact")
 
 
 def words(column):
@@ -63,55 +113,59 @@ def words(column):
     return F.array_remove(F.split(F.lower(F.coalesce(column, F.lit(""))), _SEPARATORS), "")
 
 
-def verified(doubtful: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """Merged spans (row, template, left, right, ...) whose words are those of their template but for a few."""
-    values = ", ".join(f"({i}, '{t}')" for i, t in enumerate([*BASE, *TEMPLATES]))
-    phrases = doubtful.sparkSession.sql(f"SELECT template, split(phrase, ' ') AS t FROM VALUES {values} AS t(template, phrase)")
-    both = doubtful.join(texts.where(F.col(text_col).rlike(_HAVE)).select("row", F.col(text_col).alias("body")), "row").join(F.broadcast(phrases), "template")
+def votes(texts: DataFrame) -> DataFrame:
+    """(row, template, runs, k, label, exact, i, at) of texts (row, w): the run at word i is the template's at word ``at``.
+    Equal rows vote once."""
+    shifted = F.arrays_zip(*(F.slice("w", j + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{j}") for j in range(K)))
+    pieces = texts.select("row", F.posexplode(shifted).alias("i", "p"))
+    run = lambda k: F.when(F.col(f"p.w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *(F.col(f"p.w{j}") for j in range(k))))
+    pieces = pieces.select("row", "i", F.explode(F.array(run(2), run(K))).alias("run"))
+    return pieces.join(F.broadcast(template_runs(texts.sparkSession)), "run").drop("run").distinct()  # the runs of a fixed list
+
+
+def verified(doubtful: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spans (row, template, left, right, ...) whose words are those of their template but for a few."""
+    rows = [(i, t) for i, t, *_ in template_rows()]
+    phrases = doubtful.sparkSession.createDataFrame(rows, "template int, t array<string>")
+    both = texts.join(small(doubtful), "row").join(F.broadcast(phrases), "template")
     from_word = F.greatest(F.col("left"), F.lit(0))
-    both = both.withColumn("w", F.slice(words(F.col("body")), from_word + 1, F.col("right") - from_word + 1))
-    coded = lambda c: F.array_join(F.transform(c, lambda x: F.char(F.array_position("t", x) + 64)), "")
+    both = both.withColumn("w", F.slice("w", from_word + 1, F.greatest(F.col("right") - from_word + 1, F.lit(0))))
+    code = lambda c: F.array_join(F.transform(c, lambda x: F.char(F.array_position(F.array_distinct("t"), x) + 64)), "")
     telling = lambda c: F.filter(c, lambda x: x.rlike(TELLING))
-    # each break costs a pair of words and has up to NEAR words more or less
-    most = NEAR * F.floor((1 - COVER) * F.col("pairs") + 1e-9)
-    return both.where((F.levenshtein(coded("w"), coded("t")) <= most) & (telling("w") == telling("t")))
+    # each break costs a run's length of runs at least, and has up to two words more or less
+    most = 2 * F.floor((1 - COVER) * F.col("runs") + 1e-9)
+    return both.where((F.levenshtein(code("w"), code("t")) <= most) & (telling("w") == telling("t"))).drop("w", "t")
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (row, key, n_words) of the texts, and (row, label, exact, start, end, votes, pairs) of the spans that stand."""
-    spark = docs.sparkSession
-    raw = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key), F.col(text_col))
-    texts = raw.select("row", key, words(F.col(text_col)).alias("w"))
+    """Rows (row, key, n_words) of the texts, and (row, label, exact, start, end, votes, runs) of the spans that stand."""
+    row = F.struct(F.xxhash64(F.col(key), F.col(text_col)).alias("a"), F.hash(F.col(text_col), F.col(key)).alias("b"))
+    texts = docs.select(row.alias("row"), F.col(key), words(F.col(text_col)).alias("w"))
     counted = texts.select("row", key, F.size("w").cast("long").alias("n_words"))
-    hashes = F.transform(F.slice(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b")), 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda p: F.xxhash64(p["a"], p["b"]))
-    pairs = texts.select("row", F.posexplode(hashes).alias("i", "pair"))
-    votes = pairs.join(F.broadcast(template_pairs(spark)), "pair")  # the templates' word pairs: a fixed list
-    votes = votes.withColumn("diagonal", F.col("i") - F.col("at"))
-    found = cut(votes.groupBy("row", "template", "label", "exact", "pairs", "diagonal").agg(F.count_distinct("at").alias("votes"), F.min("i").alias("first"), F.max("i").alias("last")))
-    whole = found.where("exact and votes = pairs").select("row", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("pairs")).alias("end"), "votes", "pairs")
-    # merge neighbours: a diagonal opens a new span unless the one before it, in order, is near
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    loose = found.where("not exact")
-    loose = loose.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= NEAR, 0).otherwise(1))
-    loose = loose.withColumn("span", F.sum("new").over(order))
-    merged = loose.groupBy("row", "template", "label", "exact", "pairs", "span").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + 1).alias("end"), F.max("votes").alias("best"),
-        F.min_by("diagonal", "first").alias("left"), (F.max_by("diagonal", "last") + F.col("pairs")).alias("right"))
-    enough = (F.col("votes") >= COVER * F.col("pairs")) & (F.col("end") - F.col("start") <= F.col("pairs") + 2 * NEAR + 2)
-    near = verified(merged.where(enough & (F.col("best") < F.col("pairs"))), raw, text_col)
-    columns = ("row", "label", "exact", "start", "end", "votes", "pairs")
-    return counted, whole.union(merged.where("best = pairs").select(*columns)).union(near.select(*columns))
+    found = votes(texts.select("row", "w")).withColumn("diagonal", F.col("i") - F.col("at"))
+    found = cut(found.groupBy("row", "template", "label", "exact", "runs", "k", "diagonal").agg(F.count("*").alias("votes"), F.min("i").alias("first"), F.max("i").alias("last"), F.collect_set("at").alias("places")))
+    size = F.col("runs") + F.col("k") - 1
+    columns = ("row", "label", "exact", "start", "end", "votes", "runs")
+    whole = found.where("votes = runs").select("row", "label", "exact", F.col("diagonal").alias("start"), (F.col("diagonal") + size).alias("end"), "votes", "runs")
+    # neighbours merge: what each diagonal and the few after it have of the template, by distinct positions
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, NEAR)
+    loose = found.where("not exact").withColumns({
+        "have": F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))), "best": F.max("votes").over(near),
+        "start": F.min("first").over(near), "end": F.max("last").over(near) + F.col("k"),
+        "left": F.min(F.struct("first", "diagonal")).over(near)["diagonal"], "right": F.max(F.struct("last", "diagonal")).over(near)["diagonal"] + size - 1})
+    doubtful = cut(loose.where((F.col("have") >= COVER * F.col("runs")) & (F.col("best") < F.col("runs"))).drop("places", "votes").withColumnRenamed("have", "votes"))
+    return counted, whole.union(verified(doubtful, texts.select("row", "w")).select(*columns)).distinct()
 
 
 def license_scan(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """One row for each row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score, n_spans."""
     counted, stand = spans(docs, key, text_col)
     labels = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     exact = F.col("exact")
     found = stand.groupBy("row").agg(
         F.count_if(exact).alias("n_base"), F.min(F.when(exact, F.col("start"))).alias("first_word"), F.max(F.when(exact, F.col("start"))).alias("last_word"),
         labels(F.when(exact, F.col("label"))).alias("base_labels"), labels("label").alias("labels"),
-        F.max(F.least(F.lit(1.0), F.col("votes") / F.col("pairs"))).alias("score"), F.count("*").alias("n_spans"))
+        F.max(F.least(F.lit(1.0), F.col("votes") / F.col("runs"))).alias("score"), F.count_distinct("label", "start").alias("n_spans"))
     out = counted.join(found, "row", "left")
     return out.select(
         key, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),

@@ -107,11 +107,14 @@ def int64s(values) -> pa.Array:
 
 
 def extended(docs, ddl: str):
-    """The schema of ``docs`` with further columns, whose names must be new."""
-    from pyspark.sql.types import StructType
-
-    more = StructType.fromDDL(ddl)
-    clash = {f.name.lower() for f in more} & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"the input already has columns {sorted(clash)}")
-    return StructType([*docs.schema.fields, *more.fields])
+    """The schema of ``docs`` with further columns; one whose name ``docs`` has already gets trailing underscores."""
+    from pyspark.sql.types import StructField, StructType
+
+    taken, more = {c.lower() for c in docs.columns}, []
+    for f in StructType.fromDDL(ddl):
+        name = f.name
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        more.append(StructField(name, f.dataType, f.nullable))
+    return StructType([*docs.schema.fields, *more])
