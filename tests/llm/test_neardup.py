@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import neardup as nd
@@ -64,10 +65,27 @@ def test_chains_of_edits_hot_groups_and_odd_rows(spark):
             copy[rng.randrange(900)] = rng.choice(words)
         rows.append((i, "\n".join(copy)))
     rows += [(300 + i, "A b  C") for i in range(40)] + [(400, None), (401, ""), (402, " \t\n"), (403, "a B c"), (404, "a b"), (405, "one")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("gone", F.lit("x"))
     assert result(nd.near_duplicates(frame.select("doc_id", "text"))) == brute(rows, 3, 85)
     odd = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "x")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(odd).collect()), key=str)
     assert got == [(1, 1, True), (1, 1, True), (2, 2, True), (None, None, True)]
     assert nd.near_duplicates(odd.limit(0)).count() == 0
     assert nd.keep_one_each(frame).columns == frame.columns
+
+
+def test_every_text_of_a_repeated_id_has_its_links(spark):
+    rows = [(1, "a b c d e f"), (1, "x y z w v u"), (2, "x y z w v u t"), (3, "a b c d e f g"), (4, "q r s t u v w")]
+    for order in (rows, rows[::-1]):
+        got = nd.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), percent=50).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_one_permutation_misses_no_pair_at_the_limit():
+    rng = np.random.default_rng(3)
+    for n in (12, 20, 50, 200):
+        d = next(d for d in range(n) if 100 * (n - d - 1) < 85 * (n + d + 1))  # the most that each may have of its own
+        for _ in range(200):
+            x = rng.integers(1 << 63, size=n + d, dtype=np.uint64) * np.uint64(2)
+            a, b = (nd.band_keys(nd.one_permutation(np.sort(v))[None])[0] for v in (x[:n], np.concatenate((x[: n - d], x[n:]))))
+            assert (a == b).any(), n
