@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,21 +20,26 @@ def top_roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("root")).where("root is not null").distinct().join(edges.select(F.col("child").alias("root")), "root", "left_anti")
 
 
-def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 20, row_limit: int | None = None) -> DataFrame:
-    """(root, node, depth, path): every path without repeated nodes from each root, the root itself included."""
-    spark, tag = edges.sparkSession, uuid.uuid4().hex
-    edges.select("parent", "child").where("parent is not null and child is not null").distinct().createOrReplaceTempView(f"edges_{tag}")
-    roots.select("root").distinct().createOrReplaceTempView(f"roots_{tag}")
-    if row_limit is not None:
-        spark.conf.set("spark.sql.cteRecursionRowLimit", str(row_limit))
-    return spark.sql(f"""
-        WITH RECURSIVE walk(root, node, depth, path) MAX RECURSION LEVEL {max_depth + 2} AS (
-          SELECT root, root, 0, array(root) FROM roots_{tag}
-          UNION ALL
-          SELECT w.root, e.child, w.depth + 1, array_append(w.path, e.child)
-          FROM walk w JOIN edges_{tag} e ON e.parent = w.node
-          WHERE NOT array_contains(w.path, e.child) AND w.depth < {max_depth})
-        SELECT root, node, depth, path FROM walk""")
+def simple_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(root, node, depth, path): every path without repeated nodes from each root, the root itself included.
+
+    Levels are written one by one, so neither the number of paths nor the depth meets the limits of a recursive query, and
+    the graph's edges are read once a level. It ends at ``max_depth``, or where no path goes on.
+    """
+    steps = cut(edges.select(F.col("parent").alias("node"), "child").where("node is not null and child is not null").distinct())
+    level = cut(roots.select("root").where("root is not null").distinct().select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path")))
+    levels = [level]
+    while len(levels) <= max_depth:
+        onward = level.join(steps, "node").where(~F.array_contains("path", F.col("child")))
+        level = cut(onward.select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_append("path", F.col("child")).alias("path")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    release(steps)
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.union(more)
+    return out
 
 
 def leaf_map(edges: DataFrame, roots: DataFrame | None = None, max_depth: int = 20) -> DataFrame:

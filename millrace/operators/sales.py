@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.checkpoints import cut
+
 
 def monthly_pivot(df: DataFrame, index: Sequence[str], column, values: Sequence, measure: str, digits: int | None = 2) -> DataFrame:
     """Sum of ``measure`` by ``index``, one output column for each of ``values``; absent cells are 0.
@@ -54,16 +56,27 @@ def cohort_counts(tx: DataFrame, user: str = "user_id", ts: str = "ts") -> DataF
     return rows.withColumn("period", period).groupBy("cohort", "period").agg(F.count_distinct("_user").alias("n_users"))
 
 
-def cohort_retention(tx: DataFrame, user: str = "user_id", ts: str = "ts", max_periods: int = 12) -> DataFrame:
+def cohort_retention(tx: DataFrame, user: str = "user_id", ts: str = "ts", max_periods: int | None = None) -> DataFrame:
     """One row a cohort: cohort_size and, for each month since, the share still active in percent (the ratio is rounded to
-    three places first). Months that a cohort cannot have reached are 0, as absent ones are."""
+    three places first). Months that a cohort cannot have reached are 0, as absent ones are. All months of the data are
+    columns, which one job counts, unless ``max_periods`` says how many."""
     counts = cohort_counts(tx, user, ts)
+    if max_periods is None:
+        counts = cut(counts)
+        max_periods = (counts.agg(F.max("period")).first()[0] or 0) + 1
     wide = counts.groupBy("cohort").pivot("period", list(range(max_periods))).agg(F.sum("n_users"))
     size = F.col("`0`")
     cells = [(F.bround(F.try_divide(F.coalesce(F.col(f"`{p}`"), F.lit(0)), size), 3) * 100).alias(f"m{p}") for p in range(max_periods)]
     return wide.select("cohort", size.alias("cohort_size"), *cells)
 
 
+def long_matrix(matrix: DataFrame) -> DataFrame:
+    """(cohort, cohort_size, period, retention): a retention matrix with a row for each cell."""
+    names = [c for c in matrix.columns if c[0] == "m" and c[1:].isdigit()]
+    cells = F.array(*(F.struct(F.lit(int(c[1:])).alias("period"), F.col(c).alias("retention")) for c in names))
+    return matrix.select("cohort", "cohort_size", F.explode(cells).alias("x")).select("cohort", "cohort_size", "x.*")
+
+
 def mean_curve(matrix: DataFrame, known_only: bool = False) -> DataFrame:
     """(period, retention): column means of a retention matrix; with ``known_only`` cells of 0 do not count."""
     names = [c for c in matrix.columns if c[0] == "m" and c[1:].isdigit()]

@@ -5,13 +5,16 @@ Sums of money are decimals until the end and means are over whole numbers, so bo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import evaluate
 from millrace.functions.templates import render_template
-from millrace.operators import access_map, fuzzy, graph, intervals, outliers, sales, strings, timeseries, upsert
-from millrace.session import table
+from millrace.operators import access_map, fuzzy, graph, intervals, outliers, sales, strings, tables, timeseries, upsert
+from millrace.plans.checkpoints import shared_dir
+from millrace.session import table, warehouse
 from millrace.streaming import events as event_streams
 from millrace.streaming import lru
 
@@ -106,9 +109,28 @@ def cohort_retention(spark, d):
     return counts.select(F.date_format("cohort", "yyyy-MM").alias("cohort"), F.col("period").cast("long").alias("period"), "n_users", (F.col("n_users") / size).alias("ratio"))
 
 
-@query("cohort_matrix")
+@query("cohort_matrix", """
+  WITH t AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, date_trunc('month', min(o_orderdate) OVER (PARTITION BY o_custkey)) AS c FROM orders),
+  n AS (SELECT c, (year(m) - year(c)) * 12 + month(m) - month(c) AS period, count(DISTINCT o_custkey) AS n FROM t GROUP BY ALL),
+  s AS (SELECT c, n AS cohort_size FROM n WHERE period = 0),
+  g AS (SELECT c, cohort_size, unnest(range(0, (SELECT max(period) + 1 FROM n))) AS period FROM s)
+  SELECT strftime(g.c, '%Y-%m') AS cohort, cohort_size, CAST(g.period AS INTEGER) AS period, round_even(coalesce(n.n, 0) / cohort_size, 3) * 100 AS retention
+  FROM g LEFT JOIN n ON n.c = g.c AND n.period = g.period""")
 def cohort_matrix(spark, d):
-    return sales.cohort_retention(table(spark, d, "orders"), "o_custkey", "o_orderdate", 12)
+    out = sales.long_matrix(sales.cohort_retention(table(spark, d, "orders"), "o_custkey", "o_orderdate"))
+    return out.withColumn("cohort", F.date_format("cohort", "yyyy-MM"))
+
+
+@query("mean_curve", """
+  WITH t AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, date_trunc('month', min(o_orderdate) OVER (PARTITION BY o_custkey)) AS c FROM orders),
+  n AS (SELECT c, (year(m) - year(c)) * 12 + month(m) - month(c) AS period, count(DISTINCT o_custkey) AS n FROM t GROUP BY ALL),
+  s AS (SELECT c, n AS cohort_size FROM n WHERE period = 0),
+  g AS (SELECT c, cohort_size, unnest(range(0, (SELECT max(period) + 1 FROM n))) AS period FROM s)
+  SELECT CAST(g.period AS INTEGER) AS period, CAST(sum(CAST(round_even(coalesce(n.n, 0) / cohort_size, 3) * 1000 AS BIGINT)) AS BIGINT) AS tenths, count(*) AS cohorts
+  FROM g LEFT JOIN n ON n.c = g.c AND n.period = g.period GROUP BY g.period""")
+def mean_curve(spark, d):
+    long = cohort_matrix(spark, d)
+    return long.groupBy("period").agg(F.sum(F.round(F.col("retention") * 10).cast("long")).alias("tenths"), F.count("*").alias("cohorts"))
 
 
 def _hourly(spark, d) -> DataFrame:
@@ -194,11 +216,11 @@ def merge_intervals(spark, d):
 
 
 @query("anagram_groups", r"""
-  WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents WHERE lang = 'en'),
+  WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents),
   k AS (SELECT word, array_to_string(list_sort(string_split(regexp_replace(lower(word), '[^a-z]', '', 'g'), '')), '') AS key FROM w)
   SELECT key, array_to_string(list_sort(list(word)), ' ') AS words, count(*) AS n FROM k WHERE key <> '' GROUP BY key HAVING count(*) >= 2""")
 def anagram_groups(spark, d):
-    words = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
+    words = table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("word")).distinct()
     return strings.group_anagrams(words).withColumn("words", F.array_join("words", " "))
 
 
@@ -325,11 +347,83 @@ def access_map_query(spark, d):
     return out.select("master_role", "database", "schema", F.array_join("permissions", ",").alias("permissions"), F.array_join(text, ";").alias("paths"))
 
 
-@query("access_records")
+@query("access_records", f"""{_MASTERS}, p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node GROUP BY ALL)
+  SELECT root AS master_role, CAST(to_json({{'master_role': root, 'database': database, 'schema': schema, 'permissions': list_sort(list_distinct(flatten(list(pr)))),
+    'children': list_transform(list_sort(list({{'depth': depth, 'role': node, 'path': path, 'privileges': pr}})), lambda s: {{'role': s.role, 'level': s.depth, 'path': s.path, 'privileges': s.privileges}})}}) AS VARCHAR) AS record
+  FROM p GROUP BY root, database, schema""")
 def access_records(spark, d):
     return access_map.nested_record(access_map.build_access_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _GRANTS, "role, database, schema, privilege"), shape="children"))
 
 
+def _place_grants(spark, d):
+    supplier = table(spark, d, "supplier")
+    part = lambda text, n: F.concat(F.lit(text), (F.col("s_suppkey") % n).cast("string"))
+    one = supplier.select(F.col("s_name").alias("role"), part("DB", 7).alias("database"), part("SCH", 3).alias("schema"), F.explode(F.array(F.lit("USAGE"), part("P", 2))).alias("privilege"))
+    nation = table(spark, d, "nation").select(F.col("n_name").alias("role"), F.lit("DB0").alias("database"), F.lit("*").alias("schema"), F.lit("MONITOR").alias("privilege"))
+    return one.union(nation)
+
+
+_PLACE_GRANTS = """g AS (SELECT s_name AS role, 'DB' || s_suppkey % 7 AS database, 'SCH' || s_suppkey % 3 AS schema, unnest(['USAGE', 'P' || s_suppkey % 2]) AS privilege FROM supplier
+    UNION ALL SELECT n_name, 'DB0', '*', 'MONITOR' FROM nation),
+  p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node WHERE root LIKE 'A%' GROUP BY ALL)"""
+
+
+@query("access_map_places", f"""{_PLACES.replace("parent NOT IN (SELECT child FROM e)", "parent LIKE 'A%'")}, {_PLACE_GRANTS}
+  SELECT root AS master_role, database, schema, array_to_string(list_sort(list_distinct(flatten(list(pr)))), ',') AS permissions, count(*) AS n_paths FROM p GROUP BY root, database, schema""")
+def access_map_places(spark, d):
+    out = access_map.build_access_map(_places(spark, d), _place_grants(spark, d), "A")
+    return out.select("master_role", "database", "schema", F.array_join("permissions", ",").alias("permissions"), F.size("paths").cast("long").alias("n_paths"))
+
+
+@query("stored_paths", f"""{_PLACES.replace("parent NOT IN (SELECT child FROM e)", "parent LIKE 'A%'")}, {_PLACE_GRANTS}
+  SELECT root AS master_role, database, schema, node AS descendant_role, depth, array_to_string(path, '>') AS role_path, array_to_string(pr, ',') AS privileges FROM p""")
+def stored_paths(spark, d):
+    records = access_map.nested_record(access_map.build_access_map(_places(spark, d), _place_grants(spark, d), "A"))
+    return access_map.stored_paths(records).withColumn("role_path", F.array_join("role_path", ">")).withColumn("privileges", F.array_join("privileges", ","))
+
+
+def _catalog(spark, d):
+    """A grants catalog made of suppliers (roles), their nations (master roles) and parts (warehouses)."""
+    made = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    gone = F.when(F.col("s_suppkey") % 5 == 0, F.lit("2025-01-01 00:00:00")).cast("timestamp_ntz").alias("DELETED_ON")
+    roles = made.select(gone, F.lit("USAGE").alias("PRIVILEGE"), F.lit("ROLE").alias("GRANTED_ON"), F.col("s_name").alias("NAME"), F.lit("ROLE").alias("GRANTED_TO"), F.col("n_name").alias("GRANTEE_NAME"))
+    houses = made.select(gone, F.when(F.col("s_suppkey") % 2 == 0, "USAGE").otherwise("OPERATE"), F.lit("WAREHOUSE"), F.concat(F.lit("WH"), F.col("s_suppkey").cast("string")), F.lit("ROLE"), F.col("n_name"))
+    return roles.union(houses)
+
+
+@query("direct_warehouses", "SELECT n_name AS master_role, 'WH' || s_suppkey AS warehouse_name, CASE WHEN s_suppkey % 2 = 0 THEN 'USAGE' ELSE 'OPERATE' END AS privilege FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND s_suppkey % 5 <> 0")
+def direct_warehouses(spark, d):
+    return access_map.direct_warehouses(_catalog(spark, d), "CHINA")
+
+
+@query("child_roles", "SELECT n_name AS master_role, s_name AS child_role FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND s_suppkey % 5 <> 0")
+def child_roles(spark, d):
+    return access_map.child_roles(_catalog(spark, d), "CHINA")
+
+
+@query("catalog_edges", "SELECT DISTINCT n_name AS parent, s_name AS child FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0")
+def catalog_edges(spark, d):
+    return access_map.role_edges(_catalog(spark, d))
+
+
+@query("insert_reload", """SELECT * FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 10 UNION ALL SELECT n_nationkey + 100, n_name, NULL FROM nation WHERE n_nationkey >= 20)""")
+def insert_reload(spark, d):
+    """A table that is made, truncated, filled from itself and given further rows, which lack a column."""
+    nation = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    kept = tables.Versioned(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}")
+    kept.replace(nation)
+    kept.replace(kept.read().where("n_nationkey >= 10"))
+    kept.insert(kept.read().where("n_nationkey >= 20").select((F.col("n_nationkey") + 100).alias("n_nationkey"), "n_name"))
+    return kept.read()
+
+
+@query("warehouse_source", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
+def warehouse_source(spark, d):
+    view = f"nation_{uuid.uuid4().hex}"
+    table(spark, d, "nation").createOrReplaceTempView(view)
+    return warehouse(spark, f"SELECT n_regionkey, count(*) AS n FROM {view} GROUP BY 1")
+
+
 @query("path_rows", f"{_MASTERS} SELECT root, array_to_string(path, '>') AS path, node AS leaf_role, depth, database, schema, privilege FROM w JOIN g ON g.role = w.node")
 def path_rows(spark, d):
     edges = _inline(spark, _ROLE_EDGES, "parent, child")
@@ -444,7 +538,18 @@ def windowed_totals(spark, d):
     return _doubles(event_streams.windowed_totals(table(spark, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz")))
 
 
-@query("lru_replay")
+@query("lru_replay", """
+  WITH RECURSIVE o AS (SELECT CAST(user_id % 50 AS VARCHAR) AS cache_id, CAST(event_id AS BIGINT) AS seq, CASE WHEN event_id % 2 = 0 THEN 'put' ELSE 'get' END AS op, CAST(event_id % 7 AS BIGINT) AS key, CAST(event_id AS BIGINT) AS value FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY cache_id ORDER BY seq) AS nth FROM o),
+  c(cache_id, nth, seq, op, key, result, st) AS (
+    SELECT DISTINCT cache_id, 0::BIGINT, 0::BIGINT, '', 0::BIGINT, NULL::BIGINT, []::STRUCT(k BIGINT, v BIGINT)[] FROM n
+    UNION ALL
+    SELECT n.cache_id, n.nth, n.seq, n.op, n.key,
+      CASE WHEN n.op = 'get' THEN coalesce(list_filter(c.st, lambda e: e.k = n.key)[1].v, -1) END,
+      CASE WHEN n.op = 'put' THEN list_append(list_filter(c.st, lambda e: e.k <> n.key), {'k': n.key, 'v': n.value})[-3:]
+           ELSE list_concat(list_filter(c.st, lambda e: e.k <> n.key), list_filter(c.st, lambda e: e.k = n.key)) END
+    FROM c JOIN n ON n.cache_id = c.cache_id AND n.nth = c.nth + 1)
+  SELECT cache_id, seq, op, key, result FROM c WHERE nth > 0""")
 def lru_replay(spark, d):
     log = table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("cache_id"), F.col("event_id").cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "put").otherwise("get").alias("op"), (F.col("event_id") % 7).cast("long").alias("key"), F.col("event_id").cast("long").alias("value"))
     return lru.replay(log, 3)

@@ -26,3 +26,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def warehouse(spark: SparkSession, sql: str | None = None, name: str | None = None):
+    """A statement's result or a catalog table; it stays distributed."""
+    if (sql is None) == (name is None):
+        raise ValueError("either a statement or a table name is asked for")
+    return spark.sql(sql) if sql is not None else spark.table(name)

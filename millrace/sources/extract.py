@@ -7,6 +7,7 @@ upload, mail) sit behind functions that a caller may replace.
 from __future__ import annotations
 
 import argparse
+import json
 import logging
 import smtplib
 import sys
@@ -19,6 +20,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.checkpoints import cut
+
 # Exit codes by kind of failure.
 EXIT_CODES = {"ok": 0, "generic": 1, "config": 2, "secrets": 3, "connect": 4, "query": 5, "csv": 6, "upload": 7, "unexpected": 99, "interrupt": 130}
 # Keys whose values never reach a log.
@@ -53,28 +56,43 @@ class UploadError(ExtractError):
     kind = "upload"
 
 
-def redact(value, depth: int = 0):
-    """A copy in which non-empty values of sensitive keys are masked; deeper than 20 levels only a mark is left."""
-    if depth > 20:
-        return "<max-depth>"
-    if isinstance(value, dict):
-        hidden = lambda k, v: isinstance(k, str) and k.lower() in SENSITIVE_KEYS and bool(v)
-        return {k: "***REDACTED***" if hidden(k, v) else redact(v, depth + 1) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return type(value)(redact(v, depth + 1) for v in value)
-    return value
+#: Levels of nesting that :func:`redact` copies.
+REDACTED_LEVELS = 20
+
+
+def redact(value):
+    """A copy of nested mappings and lists (tuples become lists) in which every sensitive key with a value reads as masked.
+    What lies deeper than ``REDACTED_LEVELS`` is replaced by a mark. Works off a list of places, without recursion."""
+    top = [value]
+    places = [(top, 0, 0)]
+    while places:
+        holder, place, level = places.pop()
+        found = holder[place]
+        if level > REDACTED_LEVELS:
+            holder[place] = "<max-depth>"
+        elif isinstance(found, dict):
+            holder[place] = copy = dict(found)
+            for key, inner in copy.items():
+                if inner and str(key).lower() in SENSITIVE_KEYS:
+                    copy[key] = "***REDACTED***"
+                else:
+                    places.append((copy, key, level + 1))
+        elif isinstance(found, (list, tuple)):
+            holder[place] = copy = list(found)
+            places += [(copy, i, level + 1) for i in range(len(copy))]
+    return top[0]
 
 
 def human_bytes(n: float) -> str:
-    units = ["B", "KiB", "MiB", "GiB", "TiB"]
-    power = 0
-    while n >= 1024 and power < len(units) - 1:
-        n, power = n / 1024, power + 1
-    return f"{n:.2f} {units[power]}"
+    """Bytes with two decimals in the largest binary unit that leaves at least one of it."""
+    step = min(max(int(n), 1).bit_length() - 1, 49) // 10
+    return f"{n / 2 ** (10 * step):.2f} {('B', 'KiB', 'MiB', 'GiB', 'TiB')[step]}"
 
 
 def rate(count: int, seconds: float) -> str:
-    return f"{count / seconds:.1f}/s" if seconds > 0 else f"{count}/s"
+    """A count by second; the bare count where no time went by."""
+    speed = f"{count / seconds:.1f}" if seconds > 0 else str(count)
+    return speed + "/s"
 
 
 @dataclass
@@ -148,11 +166,20 @@ def load_config(path: str) -> Config:
         raise ConfigError(f"{path} is no YAML: {e}") from e
 
 
-def no_secret_store(name: str, region: str | None) -> dict:
-    raise SecretsError("no secret store is connected")
+def aws_secret(name: str, region: str | None) -> dict:
+    """User and password from the secret store, if its client library is installed."""
+    try:
+        import boto3
+    except ImportError as e:
+        raise SecretsError("the client library of the secret store is not installed") from e
+    try:
+        found = json.loads(boto3.client("secretsmanager", region_name=region).get_secret_value(SecretId=name)["SecretString"])
+        return {"user": found.get("user") or found["username"], "password": found["password"]}
+    except Exception as e:
+        raise SecretsError(f"secret {name} cannot be read: {type(e).__name__}") from e
 
 
-def jdbc_reader(spark: SparkSession, config: Config, secrets: Callable[[str, str | None], dict] = no_secret_store) -> DataFrame:
+def jdbc_reader(spark: SparkSession, config: Config, secrets: Callable[[str, str | None], dict] = aws_secret) -> DataFrame:
     """The configured query over JDBC; ``fetch.partition_column`` with bounds reads it in parallel."""
     login = config.oracle
     if str(login.get("auth_method", "plain")).lower() == "aws_secret":
@@ -225,6 +252,7 @@ def csv_line(df: DataFrame, delimiter: str = ",", quote_all: bool = False):
 def number_rows(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """With _n: 0, 1, ... in the order of the columns. Rows are range-partitioned and numbered within partitions."""
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    spread = cut(spread)  # its bounds are sampled: a second evaluation could deal rows otherwise
     first = spread.groupBy("_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_base"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
     starts = first.select("_p", "_base", before.alias("_before"))
@@ -290,7 +318,8 @@ class Extract:
         c = self.config
         df = self._timed("query", QueryError, self.read, self.spark, c)
         files = self._timed("write", CsvError, lambda: write_csv_files(df, c.output["local_dir"], c.output["base_filename"], c.records_per_file, **c.csv))
-        self.metrics["files"] = len(files)
+        self.metrics["files"], self.metrics["bytes"] = len(files), sum(Path(f).stat().st_size for f in files if Path(f).exists())
+        self.log.info("%s files, %s, %s written", len(files), human_bytes(self.metrics["bytes"]), rate(self.metrics["bytes"], self.metrics["write_seconds"]))
         if not files:
             self.log.warning("the query gave no rows; no file was written")
             return []
@@ -328,6 +357,11 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None,
     try:
         config = load_config(options.config)
         notify = config.notifications
+        if folder := config.logging.get("root_directory"):
+            parts.setdefault("log", file_logger(folder, str(config.logging.get("process_name") or "extract"), options.debug or config.debug))
+        if options.verbose:
+            logging.getLogger("millrace").addHandler(logging.StreamHandler())
+            logging.getLogger("millrace").setLevel(logging.INFO)
         if options.debug or config.debug:
             logging.getLogger("millrace.extract").debug("configuration: %s", redact(vars(config)))
         sent = Extract(spark or SparkSession.builder.getOrCreate(), config, **parts).run()

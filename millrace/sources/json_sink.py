@@ -14,6 +14,29 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_json_file(df: DataFrame, file: str, max_bytes: int = 5 * 1024**3) -> int:
+    """One uncompressed file with a JSON object a line, on any file system; its size. More than ``max_bytes`` is an error,
+    and then no file is left."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder, target = path(f"{file}.parts"), path(file)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").option("compression", "none").text(f"{file}.parts")
+    found = list(fs.globStatus(path(f"{file}.parts/part-*")) or [])
+    size = sum(x.getLen() for x in found)
+    try:
+        if size > max_bytes:
+            raise ValueError(f"{file} would have {size} bytes, more than {max_bytes}")
+        fs.delete(target, False)
+        if found:
+            fs.rename(found[0].getPath(), target)
+        else:
+            fs.create(target).close()
+    finally:
+        fs.delete(folder, True)
+    return size
+
+
 def write_json_array(df: DataFrame, file: str, order: tuple[str, ...]) -> int:
     """An indented JSON array with sorted keys, for result tables that people read; rows stream through the driver."""
     n = 0
