@@ -5,7 +5,8 @@ of the longest item passage that ends there. Where that length reaches the windo
 window ends), the words of the window are hit. The automaton is a function of the benchmark alone, whose size is checked.
 
 Defined cases: null or wordless texts have no words and no hits; items without words are ignored, repeated items and
-repeated rows count each by its item_id or row; null item_ids are ignored; extra columns pass through.
+repeated rows count each by its item_id or row; null item_ids are ignored; texts of any length are streamed whole; extra
+columns pass through, and new ones whose names are taken get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -194,18 +195,17 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def build_model(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS) -> Model:
-    n = benchmark.select(F.sum(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[ \\t\\n\\r]+")))).first()[0] or 0
+    n = benchmark.select(F.sum(F.regexp_count(text_col, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
     if n > max_item_words:
-        raise ValueError(f"the benchmark has about {n} words; one automaton is built for at most {max_item_words}")
+        raise ValueError(f"the benchmark has {n} words; one automaton is built for at most {max_item_words}")
     return Model([(r[0], r[1]) for r in benchmark.select(item_col, text_col).collect()], window)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, n_hit, spans (array of [start, end) word places) and items (sorted as strings)."""
     model = docs.sparkSession.sparkContext.broadcast(build_model(benchmark, window=window))
-    names = docs.columns
     schema = tx.extended(docs, "n_words bigint, n_hit bigint, spans array<array<bigint>>, items array<string>")
-    where = names.index(text_col)
+    names, where = schema.names, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -222,19 +222,54 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
                     items.append(sorted({str(m.ids[x]) for x in i}))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                names=[*names, "n_words", "n_hit", "spans", "items"],
+                names=names,
             )
 
     return docs.mapInArrow(run, schema)
 
 
-def contaminated() -> "F.Column":
-    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> "F.Column":
+    return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with the columns of ``docs``."""
-    return find_contamination(docs, benchmark).where(~contaminated()).select(*docs.columns)
+    found = find_contamination(docs, benchmark)
+    n_words, n_hit = found.columns[-4:-2]
+    return found.where(~contaminated(n_hit, n_words)).select(*docs.columns)
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, longest: int = WINDOW, coverage: float = 0.05) -> DataFrame:
+    """``docs`` with texts from which found spans are cut: those of at least ``longest`` words, and all spans of a text whose
+    words they cover to at least the share ``coverage``. A span goes from its first word's first byte to its last word's last;
+    what stands around it stays. Null texts stay null."""
+    model = docs.sparkSession.sparkContext.broadcast(build_model(benchmark, window=window))
+    where = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for first, end, data, offsets in tx.chunks(batch.column(where)):
+                counts, found = _scan_chunk(model.value, data, offsets)
+                starts, ends = tx.words(tx.LOWER[data], tx.ALNUM) if found else ((), ())
+                for row in range(end - first):
+                    raw = data[offsets[row] : offsets[row + 1] - 1]
+                    spans = merged(found[row][0]) if row in found else []
+                    if sum(b - a for a, b in spans) < coverage * counts[row]:
+                        spans = [(a, b) for a, b in spans if b - a >= longest]
+                    if spans:
+                        word = int(np.searchsorted(starts, offsets[row]))
+                        keep = np.ones(len(raw), bool)
+                        for a, b in spans:
+                            keep[starts[word + a] - offsets[row] : ends[word + b - 1] - offsets[row]] = False
+                        raw = raw[keep]
+                    texts.append(raw.tobytes().decode() if batch.column(where)[first + row].is_valid else None)
+            columns = list(batch.columns)
+            columns[where] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -3,10 +3,11 @@
 A payload is the text's UTF-8 bytes, zero-padded to a positive multiple of 64; it becomes the samples of a mono 8-bit WAV
 file. What is read back goes through a short-time Fourier transform; in each stretch of time and band of frequency the
 strongest bin is a peak, and each peak is paired with the next few peaks that follow it. A fingerprint is the code
-``frequency << 20 | frequency of the partner << 8 | steps between them`` with the step at which it starts.
+``frequency << 41 | frequency of the partner << 32 | steps between them`` with the step at which it starts.
 
 Defined cases: null text is empty (64 zero bytes); silence has no peaks and an empty fingerprint; the features depend on the
-text alone, so equal texts have equal values whatever rows surround them; extra columns pass through.
+text alone, so equal texts have equal values whatever rows surround them; a long text is transformed in runs of frames, which
+bounds what it takes; extra columns pass through, and new ones whose names are taken get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ AT_ONCE = 2048
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
-def payload(text: str | None) -> tuple[int, bytes]:
+def payload_of(text: str | None) -> tuple[int, bytes]:
     raw = (text or "").encode()
     return len(raw), raw + bytes(-len(raw) % UNIT or (0 if raw else UNIT))
 
@@ -96,48 +97,35 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     for k in range(1, FAN + 1):
         if len(t) > k:
             times.append(t[:-k])
-            codes.append(f[:-k] << 20 | f[k:] << 8 | np.minimum(t[k:] - t[:-k], 255))
+            codes.append(f[:-k] << 41 | f[k:] << 32 | t[k:] - t[:-k])
     t, c = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((c, t))
     return t[order], c[order]
 
 
-def media_columns(docs: DataFrame, text_col: str = "text", with_media: bool = True, with_fingerprint: bool = True) -> DataFrame:
-    """``docs`` with n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, n_pairs, pairs_sha256
-    and, if asked for, media (the file) and fingerprint (array of (time, code))."""
-    names = docs.columns
-    where = names.index(text_col)
-    ddl = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pairs long, pairs_sha256 string"
-    more = [x.split()[0] for x in ddl.split(", ")]
-    pair = pa.struct([("time", pa.int64()), ("code", pa.int64())])
-    if with_media:
-        ddl += ", media binary"
-        more.append("media")
-    if with_fingerprint:
-        ddl += ", fingerprint array<struct<time: long, code: long>>"
-        more.append("fingerprint")
-    schema = tx.extended(docs, ddl)
-
-    def row(text: str | None) -> tuple:
-        n, raw = payload(text)
-        media = write_wav(raw)
-        back = read_wav(media)
-        t, c = fingerprint(back)
-        out = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(t), hashlib.sha256(np.stack((t, c)).astype("<i8").tobytes()).hexdigest()]
-        if with_media:
-            out.append(media)
-        if with_fingerprint:
-            out.append([{"time": a, "code": b} for a, b in zip(t.tolist(), c.tolist(), strict=True)])
-        return tuple(out)
-
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.binary()] * with_media, *[pa.list_(pair)] * with_fingerprint]
+def media_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with n_bytes, media (the file), payload_bytes, payload_sha256 and tail_crc32 of what is read back from it, and
+    fingerprint (array of (time, code))."""
+    where = docs.columns.index(text_col)
+    schema = tx.extended(docs, "n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, fingerprint array<struct<time: long, code: long>>")
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                rows = [row(x.as_py()) for x in part.column(where)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*names, *more])
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                n, media, payload, digest, tail, times, codes = [], [], [], [], [], [], []
+                for x in part.column(where):
+                    size, raw = payload_of(x.as_py())
+                    media.append(write_wav(raw))
+                    back = read_wav(media[-1])
+                    t, c = fingerprint(back)
+                    n.append(size), payload.append(len(back)), digest.append(hashlib.sha256(back).hexdigest()), tail.append(zlib.crc32(back[-UNIT:]))
+                    times.append(t), codes.append(c)
+                ends = np.concatenate(([0], np.cumsum([len(t) for t in times])))
+                pairs = pa.StructArray.from_arrays([tx.int64s(np.concatenate(times)), tx.int64s(np.concatenate(codes))], names=["time", "code"])
+                prints = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+                yield pa.RecordBatch.from_arrays([*part.columns, tx.int64s(n), pa.array(media, pa.binary()), tx.int64s(payload), pa.array(digest), tx.int64s(tail), prints], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -146,9 +134,11 @@ def op8_media(spark, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = media_columns(docs, with_media=False, with_fingerprint=False)
-    feature = F.concat_ws(":", F.lit("peak-pairs"), F.col("n_pairs").cast("string"), "pairs_sha256")
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    out = media_columns(docs)
+    feature = F.concat_ws(":", F.lit("peak-pairs"), F.size("fingerprint").cast("string"), F.hex(F.xxhash64("fingerprint")))
+    return out.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
 
 
 QUERIES = {"op8_media": op8_media}

@@ -5,8 +5,11 @@ again by weight. A document is taken as often as its source's target holds the s
 below the threshold that meets the rest of the target. The hash depends on doc_id alone, so a rerun takes the same, and a
 larger target takes a superset.
 
+Sources are few: what runs in one task, or is joined by broadcast, is one row a source.
+
 Defined cases: a null or wordless text has size 0 and is never counted; a null source is a source of its own, the last; rows
-with equal doc_id are taken alike; extra columns pass through :func:`mix`.
+with equal doc_id are taken alike; a null doc_id hashes by its text, so that only equal texts are taken alike; a text of any
+length is one item; without rows there are no targets; extra columns pass through :func:`mix` whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +28,11 @@ def n_words(column):
     return F.coalesce(F.regexp_count(column, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def row_hash(doc_id="doc_id", text="text"):
+    """Of doc_id alone where there is one, else of the text."""
+    return hash60(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit("")))))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size, target) from rows of (source, size). Windows here run over one row a source."""
     per = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
@@ -46,7 +54,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, size, hash) of each row, and (source, source_size, target, times, limit) of each source."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("hash")))
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_hash().alias("hash")))
     goal = targets(sized, weights, most).withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     name = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
     goal = cut(goal.withColumn("budget", F.col("target") - F.col("times") * F.col("source_size")).withColumn("stream", name))
@@ -66,10 +74,11 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
     _, known = plan(docs, weights, most)
-    known = known.select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("limit").alias("_limit"))
-    rows = docs.join(known, F.col("source").eqNullSafe(F.col("_source")))
-    times = F.col("_times") + F.when(hash60(F.col("doc_id")) < F.col("_limit"), 1).otherwise(0)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), times.cast("int")))).where("_copy > 0").select(*docs.columns)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").alias("of"), row_hash().alias("hash"))
+    rows = rows.join(known.select("source", "times", "limit"), F.col("of").eqNullSafe(F.col("source")))
+    times = F.col("times") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)
+    rows = rows.where(times > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -80,7 +89,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))), 1, 15))::BIGINT AS hash
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM s),

@@ -67,3 +67,16 @@ def test_query_matches_its_sql(spark):
     for t in ("documents", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS FROM '{base}/{t}.parquet'")
     assert {tuple(r) for r in d.op6_decontaminate(spark, base).collect()} == set(con.sql(d.OP6_SQL).fetchall())
+
+
+def test_spans_are_cut_by_length_and_coverage(spark):
+    item = " ".join(f"item{i}" for i in range(20))
+    long = " ".join(f"w{i}" for i in range(1000))
+    docs = spark.createDataFrame([(1, f"before, {item}! after"), (2, f"{long} {item} {long}"), (3, None), (4, "nothing"), (5, f"{long} " + " ".join(item.split()[:13]))], "doc_id long, text string").withColumn("spans", F.lit("x"))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in d.remove_spans(docs, bench, longest=15).collect()}
+    assert got == {1: "before, ! after", 2: f"{long}  {long}", 3: None, 4: "nothing", 5: f"{long} " + " ".join(item.split()[:13])}
+    assert d.remove_spans(docs, bench).where("doc_id = 5").first().text == f"{long} "
+    kept = d.remove_contaminated(docs.withColumn("n_words", F.lit(0)), bench)
+    assert kept.columns == ["doc_id", "text", "spans", "n_words"] and {r.doc_id for r in kept.collect()} == {2, 3, 4, 5}
+    assert d.remove_spans(docs.limit(0), bench).count() == 0
