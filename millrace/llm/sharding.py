@@ -2,15 +2,19 @@
 
 Documents of one group (by default: equal texts) are linked through a node that stands for the group, so a group of n
 documents has n edges. Every document starts in the shard its doc_id hashes to. In each round a group counts its bytes by
-shard and its documents ask for the shard that holds most of them; a shard admits what its quota has room for, in the order
-of a hash of the group, so that groups move whole. Documents without a link, which no shard's edges depend on, then fill
-every shard up to its quota by ranges of a hash whose bounds come from nested histograms.
+shard; of the shards that have room left it picks the one that holds most of them, and its documents in shards that hold less
+ask to go there. A shard admits what its quota has room for by ranges of a hash: groups whose askers all fit the room are
+admitted whole, by a hash of the group; a larger group's documents ask one by one, so that it fills a shard and then the next.
+Bytes only move to where a group has more of them, so the rounds come to a stop by themselves. Documents without a link, which
+no shard's edges depend on, then fill every shard up to its quota by ranges of a hash whose bounds come from nested histograms.
 
-Law: ``bytes``. Sizes count the UTF-8 bytes of the text plus 1.
+Law: ``bytes``. Sizes count the UTF-8 bytes of the text plus 1. :func:`edge_cut` counts the edges that end up cut.
 
 Defined cases: null texts have size 1 and are linked with nothing; empty texts are equal; rows with equal doc_id and text go
-together; a null doc_id hashes as empty text; extra columns pass through; any number of rows, also none, fills all shards as
-evenly as its rows allow.
+together; a null doc_id hashes as empty text; rows are numbered in the order of all their columns' hashes within a part, so
+ties do not matter; a text of any length counts as one row and is never split; extra columns pass through, and shard and slot
+get a trailing underscore if the input has columns of these names; any number of rows, also none, fills all shards as evenly
+as its rows allow.
 """
 
 from __future__ import annotations
@@ -18,10 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import text as tx
 from millrace.llm.thresholds import hash60, thresholds
-from millrace.plans.checkpoints import cut
+from millrace.plans.checkpoints import cut, release
 
-ROUNDS = 4
+#: A shard with less room than this share of its quota takes nothing more.
+FULL = 0.01
+#: Rounds stop by themselves; more than this would be an error.
+MOST_ROUNDS = 100
 #: Rows that one task numbers, about.
 NUMBERED = 100_000
 
@@ -33,24 +41,49 @@ def _quota_limits(asks: DataFrame, room: DataFrame) -> DataFrame:
     return room.join(limits, "to", "left").select("to", F.coalesce("limit", F.lit(1 << 60)).alias("limit"))
 
 
-def propagate(linked: DataFrame, capacity: float, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """linked: (doc_id, group, size); with shard."""
+def propagate(linked: DataFrame, capacity: float, shards: int) -> DataFrame:
+    """linked: (doc_id, group, size, ...); with shard."""
     now = cut(linked.withColumn("shard", (hash60(F.col("doc_id")) % shards).cast("int")))
-    for _ in range(rounds):
-        tally = now.groupBy("group", "shard").agg(F.sum("size").alias("size"))
-        best = tally.groupBy("group").agg(F.max(F.struct("size", F.xxhash64("group", "shard").alias("tie"), "shard")).alias("m"))
-        asks = cut(tally.join(best.select("group", F.col("m.shard").alias("to")), "group").where("to <> shard").withColumn("hash", hash60(F.col("group"))))
-        if asks.isEmpty():
-            break
+    every = now.sparkSession.range(shards).select(F.col("id").cast("int").alias("to"))
+    for _ in range(MOST_ROUNDS):
         load = now.groupBy("shard").agg(F.sum("size").alias("load"))
-        every = now.sparkSession.range(shards).select(F.col("id").cast("int").alias("to"))
         room = every.join(load.withColumnRenamed("shard", "to"), "to", "left").select("to", F.greatest(F.lit(0.0), F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("budget"))
-        limits = _quota_limits(asks, room)
-        moves = asks.join(limits, "to").where("hash < limit").select("group", "shard", "to")
-        now = cut(now.join(moves, ["group", "shard"], "left").select(*linked.columns, F.coalesce("to", "shard").alias("shard")))
+        room = cut(room.where(F.col("budget") > FULL * capacity))  # one row a shard
+        held = cut(now.groupBy("group", "shard").agg(F.sum("size").alias("size")).withColumn("tie", F.xxhash64("group", "shard")))
+        best = held.join(F.broadcast(room.withColumnRenamed("to", "shard")), "shard").groupBy("group").agg(F.max(F.struct("size", "tie", "shard", "budget")).alias("m"))
+        asks = held.join(best, "group").where(F.struct("size", "tie") < F.struct("m.size", "m.tie"))
+        asks = asks.select("group", "shard", F.col("m.shard").alias("to"), "size", F.col("m.budget").alias("budget"))
+        wants = asks.groupBy("group").agg(F.sum("size").alias("wanted"))
+        asks = cut(asks.join(wants, "group").withColumn("whole", F.col("wanted") <= F.col("budget")).drop("wanted", "budget"))
+        if asks.isEmpty():
+            break
+        # documents of large groups ask one by one; join on the few groups larger than a shard's room
+        single = now.join(asks.where("not whole").select("group", "shard", "to"), ["group", "shard"]).select("to", hash60(F.col("doc_id")).alias("hash"), "size")
+        items = asks.where("whole").select("to", hash60(F.col("group")).alias("hash"), "size").union(single)
+        limits = cut(_quota_limits(items, room))
+        told = asks.join(F.broadcast(limits), "to").where(~F.col("whole") | (hash60(F.col("group")) < F.col("limit"))).select("group", "shard", "to", "whole", "limit")
+        goes = F.col("to").isNotNull() & (F.col("whole") | (hash60(F.col("doc_id")) < F.col("limit")))
+        moved = now.join(told, ["group", "shard"], "left").select(*linked.columns, F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), goes.alias("moved"))
+        moved = cut(moved)
+        for done in (now, room, held, asks, limits):
+            release(done)
+        now = moved.drop("moved")
+        now._millrace_path = moved._millrace_path
+        if moved.where("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"no stop within {MOST_ROUNDS} rounds")
     return now
 
 
+def edge_cut(assigned: DataFrame) -> DataFrame:
+    """(edges, cut): documents of groups of several, each linked with its group's node, and those in another shard than the
+    node, which is where most of the group's bytes are."""
+    held = assigned.where("group is not null").groupBy("group", "shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    groups = held.groupBy("group").agg(F.sum("n").alias("edges"), F.max(F.struct("bytes", "n")).alias("m")).where("edges > 1")
+    return groups.agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("edges"), F.coalesce(F.sum(F.col("edges") - F.col("m.n")), F.lit(0)).alias("cut"))
+
+
 def assign(rows: DataFrame, shards: int = 8) -> DataFrame:
     """rows: (doc_id, group, size, ...), group null where nothing is linked; with shard."""
     rows = cut(rows)
@@ -67,7 +100,8 @@ def assign(rows: DataFrame, shards: int = 8) -> DataFrame:
     for s in range(shards - 1):
         so_far += lack[s] * scale
         bounds.append((s, so_far))
-    budgets = rows.sparkSession.range(1).select(F.lit(0).alias("stream"), F.explode(F.array(*(F.lit(b) for _, b in bounds or [(0, 0.0)]))).alias("budget"))
+    values = ", ".join(f"({0 * i}, {b!r}D)" for i, (_, b) in enumerate(bounds or [(0, 0.0)]))
+    budgets = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(stream, budget)")
     limits = thresholds(free.select(F.lit(0).alias("stream"), "hash", "size"), budgets.distinct())
     limits = {r.budget: r.limit for r in limits.select("budget", "limit").collect()}  # fewer rows than shards
     shard = F.lit(shards - 1)
@@ -80,12 +114,13 @@ def numbered(rows: DataFrame, by: str = "shard", order: str = "doc_id") -> DataF
     """With slot: 0, 1, ... within each shard; one task numbers a part of a shard, and parts follow each other."""
     rows = cut(rows)
     parts = max(1, rows.count() // NUMBERED)
-    rows = rows.withColumn("_part", (hash60(F.col(order)) % parts).cast("int"))
-    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order))
+    of_row = F.xxhash64(*rows.columns)  # not of the order's column alone, which may be null in many rows
+    rows = rows.withColumns({"_hash": of_row, "_part": F.pmod(of_row, F.lit(parts)).cast("int")})
+    within = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order, "_hash"))
     sizes = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     out = rows.withColumn("_within", within).join(before.drop("_n"), [by, "_part"])
-    return out.withColumn("slot", (F.col("_before") + F.col("_within") - 1).cast("long")).drop("_part", "_within", "_before")
+    return out.withColumn("slot", (F.col("_before") + F.col("_within") - 1).cast("long")).drop("_part", "_within", "_before", "_hash")
 
 
 def described(docs: DataFrame):
@@ -94,14 +129,15 @@ def described(docs: DataFrame):
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """``docs`` with shard and slot."""
-    where = numbered(assign(described(docs), shards)).select(F.col("doc_id").alias("_id"), F.col("group").alias("_group"), "shard", "slot")
+    where = numbered(assign(described(docs), shards)).select(F.col("doc_id").alias("id"), "group", "shard", "slot")
     # rows that agree in doc_id and text share a shard; deal their slots out among them
-    alike = Window.partitionBy("_id", "_group")
-    where = where.withColumn("_k", F.row_number().over(alike.orderBy("slot")))
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_group": F.md5(F.col("text").cast("binary"))})
-    rows = rows.withColumn("_k", F.row_number().over(alike.orderBy("_id")))
-    same = rows["_id"].eqNullSafe(where["_id"]) & rows["_group"].eqNullSafe(where["_group"]) & (rows["_k"] == where["_k"])
-    return rows.join(where, same).select(*[rows[c] for c in docs.columns], "shard", "slot")
+    alike = Window.partitionBy("id", "group")
+    where = where.withColumn("k", F.row_number().over(alike.orderBy("slot")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("group"))
+    rows = rows.withColumn("k", F.row_number().over(alike.orderBy("id")))
+    same = rows["id"].eqNullSafe(where["id"]) & rows["group"].eqNullSafe(where["group"]) & (rows["k"] == where["k"])
+    names = tx.extended(docs, "shard int, slot long").names[-2:]
+    return rows.join(where, same).select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("shard").alias(names[0]), F.col("slot").alias(names[1]))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,3 +92,81 @@ def test_shards_with_a_hot_group_and_odd_rows(spark):
     assert sharding.shard_documents(frame.limit(0)).count() == 0
     three = sharding.assign(sharding.described(spark.createDataFrame(docs[:3], "doc_id long, text string"))).collect()
     assert len(three) == 3
+
+
+def test_propagation_against_plain_dictionaries(spark):
+    rng = random.Random(9)
+    docs = [(i, f"g{min(rng.randrange(40), rng.randrange(40))}", rng.randrange(1, 30)) for i in range(500)] + [(1000 + i, "hot", 40) for i in range(150)]
+    shards = 8
+    h = lambda x: int(hashlib.md5(str(x).encode()).hexdigest()[:15], 16)
+    capacity, full = sum(s for _, _, s in docs) / shards, sharding.FULL
+    at = {d: h(d) % shards for d, _, _ in docs}
+    ties = {(r.g, r.s): r.t for r in spark.createDataFrame([(g, s) for g in {g for _, g, _ in docs} for s in range(shards)], "g string, s int").selectExpr("g", "s", "xxhash64(g, s) t").collect()}
+    rounds = 0
+    while True:
+        rounds += 1
+        load = Counter()
+        held = Counter()
+        for d, g, s in docs:
+            load[at[d]] += s
+            held[g, at[d]] += s
+        room = {s: max(0.0, capacity - load[s]) for s in range(shards)}
+        room = {s: r for s, r in room.items() if r > full * capacity}
+        asks = defaultdict(list)
+        for g in {g for _, g, _ in docs}:
+            mine = [((held[g, s], ties[g, s]), s) for s in range(shards) if held[g, s]]
+            best = max((x for x in mine if x[1] in room), default=None)
+            lower = [x[1] for x in mine if best and x[0] < best[0]]
+            whole = sum(held[g, s] for s in lower) <= room[best[1]] if best else False
+            for s in lower:
+                if whole:
+                    asks[best[1]].append((h(g), held[g, s], [d for d, k, _ in docs if k == g and at[d] == s]))
+                else:
+                    asks[best[1]] += [(h(d), n, [d]) for d, k, n in docs if k == g and at[d] == s]
+        moved = False
+        for to, items in asks.items():
+            sums, total = [(0, 0)], 0
+            for x in sorted({i[0] for i in items}):
+                total += sum(i[1] for i in items if i[0] == x)
+                sums.append((total, x + 1))
+            limit = 1 << 60 if total <= room[to] else min(sums, key=lambda p: (abs(p[0] - room[to]), p[0]))[1]
+            for x, _, ds in items:
+                if x < limit:
+                    moved = True
+                    for d in ds:
+                        at[d] = to
+        if not moved:
+            break
+    frame = spark.createDataFrame(docs, "doc_id long, group string, size long")
+    out = sharding.propagate(frame, capacity, shards)
+    got = {r.doc_id: r.shard for r in out.collect()}
+    assert rounds > 2 and got == at
+    before = sharding.edge_cut(frame.withColumn("shard", (thresholds.hash60(F.col("doc_id")) % shards).cast("int"))).first()
+    after = sharding.edge_cut(out).first()
+    assert after.edges == before.edges >= len(docs) - 5 and after.cut < 0.95 * before.cut
+    load = Counter()
+    for d, _, s in docs:
+        load[got[d]] += s
+    assert max(load.values()) < 1.25 * capacity
+
+
+def test_a_hot_group_fills_shards_one_after_another(spark):
+    docs = [(i, "hot", 10) for i in range(900)] + [(10_000 + i, f"pair{i // 2}", 10) for i in range(1800)]
+    capacity = sum(s for _, _, s in docs) / 8
+    out = sharding.propagate(spark.createDataFrame(docs, "doc_id long, group string, size long"), capacity, 8)
+    held = Counter(r.shard for r in out.where("group = 'hot'").collect())
+    assert sum(sorted(held.values())[-3:]) > 0.6 * 900  # a third of all bytes needs three of eight shards
+    pairs = out.where("group <> 'hot'").groupBy("group").agg(F.count_distinct("shard").alias("n"))
+    assert pairs.where("n = 1").count() > 0.7 * 900
+    assert max(Counter({r.shard: r["n"] for r in out.groupBy("shard").agg(F.sum("size").alias("n")).collect()}).values()) < 1.1 * capacity
+
+
+def test_mix_and_shards_of_rows_without_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, f"s{i % 2}", f"text number {i} " * (i % 4)) for i in range(400)], "doc_id long, source string, text string")
+    docs = docs.withColumn("shard", F.lit("a")).withColumn("slot", F.lit("b")).withColumn("row", F.lit("c")).withColumn("limit", F.lit(1)).withColumn("k", F.lit(2))
+    out = mixing.shares(docs).groupBy("source", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 9 for r in out)
+    assert mixing.mix(docs).columns == docs.columns
+    made = sharding.shard_documents(docs)
+    assert made.columns == [*docs.columns, "shard_", "slot_"] and made.count() == 400
+    assert sorted((r.shard_, r.slot_) for r in made.collect()) == sorted((s, i) for s, n in Counter(r.shard_ for r in made.collect()).items() for i in range(n))
