@@ -2,12 +2,18 @@
 
 Texts become lower-case letters with single spaces between words. One model of order ``ORDER`` per language is estimated
 from all n-gram counts, which executors gather over all labelled rows: none is left out, so every labelled language with a
-letter has its model, and the driver and the broadcast hold a row of each distinct n-gram; a text goes to the language with the least cross-entropy
-per character, and is rejected where even that is too far from what the language's own text has. Models are sorted arrays
-of n-gram hashes with a row of log probabilities (one per language) for each n-gram.
+letter has its model, and the driver and the broadcast hold a row of each distinct n-gram; a text goes to the language with
+the least cross-entropy per character. Models are sorted arrays of n-gram hashes with a row of log probabilities (one per
+language) for each n-gram.
+
+Rejection is calibrated on folds of the labelled rows: models of one fold score the other, and a language's limit is the
+``ACCEPTED`` quantile of what its texts cost beyond the model's own cross-entropy, less what chance adds at their length. A
+language with fewer than ``ENOUGH`` texts in the scored fold has the distance of the nearest foreign language as its limit.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and rejected; with no labelled row at all
-everything is ``und``; rows without a label are not learned from; repeated rows count each; extra columns pass through.
+everything is ``und``; rows without a label are not learned from; repeated rows count each, rows with equal doc_id are in one
+fold; a null doc_id is learned from and never calibrates; a text of any length is scored whole; extra columns pass through,
+and new ones whose names are taken get a trailing underscore.
 """
 
 from __future__ import annotations
@@ -24,9 +30,12 @@ from pyspark.sql import functions as F
 from millrace.llm import text as tx
 
 ORDER = 4
-#: A text may be this many times as far from its language's own cross-entropy as the nearest foreign language's text is: texts
-#: that mix languages or hold keys and misspellings stay, other scripts go.
-REJECT_AT = 1.0
+#: Share of a language's labelled texts that its limit accepts.
+ACCEPTED = 0.999
+#: Texts that a quantile is read from, at least.
+ENOUGH = 200
+#: Standard deviations that chance may add to a text's mean cost.
+CHANCE = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -250,7 +259,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     own = np.diag(mean).copy() if n_lang else np.zeros(0)
     spread = np.sqrt(np.maximum((share * cost**2).sum(0) - own**2, 0)) if n_lang else np.zeros(0)
     foreign = np.where(np.eye(n_lang, dtype=bool), np.inf, mean).min(0) if n_lang > 1 else np.full(n_lang, 2 * np.log(alphabet))
-    return Models(languages, letter_table(), tables, log_p, contexts, log_back, floor, own, spread, own + REJECT_AT * np.maximum(foreign - own, 0.5))
+    return Models(languages, letter_table(), tables, log_p, contexts, log_back, floor, own, spread, own + np.maximum(foreign - own, 0.5))
 
 
 def _rows(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -267,17 +276,16 @@ def _hash_rows(grams: np.ndarray) -> np.ndarray:
 
 
 def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score, cross_entropy (nats a character) and rejected."""
+    """``docs`` with lang_pred, score, cross_entropy (nats a character), excess (of it beyond the model's own and what chance
+    adds) and rejected."""
     model = docs.sparkSession.sparkContext.broadcast(models)
-    names = docs.columns
-    where = names.index(text_col)
-    more = ["lang_pred", "score", "cross_entropy", "rejected"]
-    schema = tx.extended(docs, "lang_pred string, score double, cross_entropy double, rejected boolean")
+    schema = tx.extended(docs, "lang_pred string, score double, cross_entropy double, excess double, rejected boolean")
+    names, where = schema.names, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Models = model.value
         for batch in batches:
-            best, score, entropy, rejected = [], [], [], []
+            best, score, entropy, excess, rejected = [], [], [], [], []
             for first, end, data, offsets in tx.chunks(batch.column(where)):
                 points, bounds, n_letters = letters(m.letters, data, offsets)
                 rows = end - first
@@ -285,6 +293,7 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
                     best += ["und"] * rows
                     score += [0.0] * rows
                     entropy += [None] * rows
+                    excess += [None] * rows
                     rejected += [True] * rows
                     continue
                 logs = np.cumsum(np.vstack((np.zeros((1, len(m.languages))), m.log_probs(points))), 0, dtype=np.float64)
@@ -294,16 +303,18 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
                 cost = -(logs[high] - logs[low]) / n[:, None]
                 pick = cost.argmin(1)
                 least = cost[np.arange(rows), pick]
-                odds = np.exp(-(cost - least[:, None]) * np.minimum(n, 60)[:, None])
+                odds = np.exp(np.maximum(-(cost - least[:, None]) * n[:, None], -700))
                 sure = 1 / odds.sum(1)
-                bad = least > m.limit[pick] + 3 * m.spread[pick] / np.sqrt(n)
+                over = least - m.own[pick] - CHANCE * m.spread[pick] / np.sqrt(n)
+                bad = over > (m.limit - m.own)[pick]
                 for i in range(rows):
                     known = n_letters[i] > 0
                     best.append(m.languages[pick[i]] if known else "und")
                     score.append(float(sure[i]) if known else 0.0)
                     entropy.append(float(least[i]) if known else None)
+                    excess.append(float(over[i]) if known else None)
                     rejected.append(bool(bad[i]) or not known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())], names=[*names, *more])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(excess, pa.float64()), pa.array(rejected, pa.bool_())], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -313,15 +324,29 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def calibrated(labelled: DataFrame, key: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models:
+    """Models of all labelled rows, with limits read from one fold of them as models of the other fold score it."""
+    models = fit(labelled, text_col, lang_col)
+    fold = F.coalesce(F.crc32(F.concat(F.lit("fold "), F.col(key).cast("string"))) % 2 == 1, F.lit(False))
+    rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), fold.alias("fold"))
+    half = fit(rows.where("not fold"), "text", "lang")
+    told = identify(rows.where("fold").select("text", "lang"), half).where("lang = lang_pred")
+    limits = told.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("excess", F.lit(ACCEPTED), F.lit(10_000)).alias("limit"))
+    for r in limits.where(F.col("n") >= ENOUGH).collect():  # one row a language
+        at = models.languages.index(r.lang)
+        models.limit[at] = models.own[at] + max(r.limit, 0.0)
+    return models
+
+
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Rows whose language is identified, with the columns of ``docs``."""
-    models = fit(docs.where(~held_out()), text_col, lang_col)
-    return identify(docs, models, text_col).where("not rejected").select(*docs.columns)
+    found = identify(docs, calibrated(docs.where(~held_out()), text_col=text_col, lang_col=lang_col), text_col)
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    models = fit(docs.where(~held_out()).select("text", "lang"))
+    models = calibrated(docs.where(~held_out()).select("doc_id", "text", "lang"))
     out = identify(docs.select("doc_id", "text"), models)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 

@@ -75,6 +75,24 @@ def test_held_out_accuracy_and_clean_texts_are_kept(spark):
     assert got.rejected.mean() < 0.02
 
 
+def test_calibrated_limits_keep_clean_texts_and_reject_planted_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labelled = docs.where(~g.held_out())
+    models, plain = g.calibrated(labelled), g.fit(labelled)
+    assert (models.limit != plain.limit).all() and (models.limit >= models.own).all()
+    held = g.identify(docs.where(g.held_out()), models).select("rejected", "lang", "lang_pred").toPandas()
+    print("held out and rejected", held.rejected.mean(), models.limit - models.own, plain.limit - plain.own)
+    assert held.rejected.mean() < 0.01 and (held.lang == held.lang_pred).mean() > 0.99
+    planted = ["Привет как дела сегодня мой друг " * 8, "今天天气很好我们一起去公园散步吧" * 8, "".join(rng.choice("qxzjkvwy") + rng.choice(" qwxz") for _ in range(200)), "xq zvk jjq wxz qqk vzx kjq " * 10]
+    odd = spark.createDataFrame([(i, t, "en") for i, t in enumerate(planted)], "doc_id long, text string, lang string").withColumn("rejected", F.lit(1)).withColumn("score", F.lit("s"))
+    found = g.identify(odd, models)
+    assert found.columns == [*odd.columns, "lang_pred", "score_", "cross_entropy", "excess", "rejected_"]
+    assert [r.rejected_ for r in found.orderBy("doc_id").collect()] == [True] * 4
+
+
 def test_foreign_script_is_rejected_and_empty_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     models = g.fit(docs.select("text", "lang"))
