@@ -8,7 +8,8 @@ A document's set is its distinct word k-shingles (with fewer words, the whole se
   (each empty bin tries bins in an order of its own until it meets a full one). Sets of any size are sketched in this way.
 * Bands are hashed to buckets; in each bucket every class is paired with the least class only (a star).
 * Pairs are confirmed on whole sets rebuilt from the texts. Where a bucket still holds classes of different components
-  after that, the pairs across components are confirmed too, so no link is lost that the buckets can show; how each class
+  after that, there is a star round another class, and then the pairs across components are confirmed too, so no link is
+  lost that the buckets can show; how each class
   differs from the least class of the bucket rules out most such pairs beforehand (an upper bound, so no link is lost to it).
 
 Two sets at the limit share no bucket with a probability of 2e-8 (similarity 0.85; 3e-6 at 0.8) if all bins are
@@ -205,25 +206,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text_col: str = "text"
     texts = cut(texts.select(F.col("id").alias("doc"), "body").dropDuplicates(["doc"]))
     seen = cut(compare(asked, texts, k, percent))
     links = seen.where("linked").select("a", "b")
-    part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    known = (links, asked)
 
-    # buckets in which components still meet: their pairs across components, less those that the bound rules out
-    parts = shared.join(part, "id", "left").select("bucket", "a", "id", F.coalesce("component", "id").alias("component"))
-    mixed = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    open_rows = parts.where("id <> a").join(mixed, "bucket").join(heads.select("id", "n", "keys"), "id")
-    open_rows = cut(open_rows.join(seen.drop("linked").withColumnRenamed("b", "id"), ["a", "id"]))
+    # buckets in which components still meet: first a star round the least class that is apart from the first star's centre,
+    # which merges what is left of large groups, then all pairs across components; less those that the bound rules out
     each = ("id", "component", "n", "keys", *_COMPARED[2:])
-    one, two = (open_rows.select("bucket", *(["n_a"] if s == "x" else []), *(F.col(c).alias(f"{c}_{s}") for c in each)) for s in "xy")
-    first = F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0))
-    fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & may_link(percent)
-    across = one.join(two, "bucket").where(fits & (first == F.col("bucket")))
-    across = cut(across.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct().join(asked, ["a", "b"], "left_anti"))
-    more = compare(across, texts, k, percent).where("linked").select("a", "b")
-    links = cut(links.union(more))
+    rounds = []
+    for last in (False, True):
+        links, asked = known
+        part = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+        parts = cut(shared.join(part, "id", "left").select("bucket", "a", "id", F.coalesce("component", "id").alias("component")))
+        mixed = parts.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+        rows = parts.where("id <> a").join(mixed, "bucket").join(heads.select("id", "n", "keys"), "id")
+        rows = cut(rows.join(seen.drop("linked").withColumnRenamed("b", "id"), ["a", "id"]))
+        one, two = (rows.select("bucket", *(["n_a"] if s == "x" else []), *(F.col(c).alias(f"{c}_{s}") for c in each)) for s in "xy")
+        if not last:
+            home = parts.where("id = a").select("bucket", F.col("component").alias("home"))
+            centre = rows.select("bucket", "id", "component").join(home, "bucket").where("component <> home").groupBy("bucket").agg(F.min("id").alias("id_x"))
+            one = one.join(centre, ["bucket", "id_x"])
+        fits = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (F.col("component_x") != F.col("component_y")) & may_link(percent)
+        if last:
+            fits = fits & (F.col("id_x") < F.col("id_y")) & (F.get(F.array_intersect("keys_x", "keys_y"), F.lit(0)) == F.col("bucket"))
+        across = one.join(two, "bucket").where(fits).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+        across = cut(across.join(asked, ["a", "b"], "left_anti"))
+        more = cut(compare(across, texts, k, percent).where("linked").select("a", "b"))
+        known = (links.union(more), asked.union(across))
+        rounds += [parts, rows, across, more]
+    links = known[0]
+    links = cut(links)
     doc_of = lambda c: heads.select(F.col("id").alias(c), F.col("doc").alias(f"doc_{c}"))
     linked = links.join(doc_of("a"), "a").join(doc_of("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
     groups = cut(connected_components(linked.union(same), "a", "b").withColumnRenamed("node", "doc"))
-    for done in (heads, shared, asked, texts, seen, open_rows, across, links):
+    for done in (heads, shared, texts, seen, links, *rounds):
         release(done)
     out = found.select("doc", "n").join(groups, "doc", "left")
     component = F.coalesce("component", "doc")

@@ -16,7 +16,8 @@ boundaries is not needed, as equal tokens never straddle one. Multikey quicksort
 keys: in Python a byte-wise quicksort of every suffix took far too long, and the order among unequal suffixes is not used.
 
 Defined cases: null text is empty; rows with equal doc_id do not count as earlier than each other; a null doc_id is neither
-changed nor looked at; texts shorter than ``length`` stay as they are; extra columns are left out of the result.
+changed nor looked at; texts shorter than ``length`` stay as they are, and longer ones are worked on whole; extra columns,
+whatever their names, are left out of the result.
 """
 
 from __future__ import annotations
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     if length < 5:
         raise ValueError("length is at least 5")
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bits = min(20, max(3, int(total // BUCKET_BYTES).bit_length()))
+    bits = min(31, max(3, int(total // BUCKET_BYTES).bit_length()))  # 32 bits of a token are kept besides the bucket
     base = docs.select(F.col(key).cast("long").alias("doc"), F.col(text_col).alias("body"))  # new names: an alias that changes nothing would be dropped on one side only, and the shuffle below not shared
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // (64 << 20)))
     # one shuffle of the texts serves both joins below, as both see the same filtered rows
