@@ -89,3 +89,19 @@ def test_one_permutation_misses_no_pair_at_the_limit():
             x = rng.integers(1 << 63, size=n + d, dtype=np.uint64) * np.uint64(2)
             a, b = (nd.band_keys(nd.one_permutation(np.sort(v))[None])[0] for v in (x[:n], np.concatenate((x[: n - d], x[n:]))))
             assert (a == b).any(), n
+
+
+def test_large_stars_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 5)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(300)}" for _ in range(110)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for at in rng.sample(range(110), rng.randrange(3, 6)):
+            copy[at] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 3, 85)
+    assert len({v[1] for v in want.values()}) > 1
+    assert result(nd.near_duplicates(frame)) == want
