@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("lines", "licenses", "language", "neardup", "quality", "decontaminate", "mixing", "media", "sharding", "repeats", "codes", "alignment")
+MODULES = ("lines", "licenses", "language", "neardup", "quality", "decontaminate", "mixing", "media", "sharding", "repeats", "secrets", "codes", "alignment")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
