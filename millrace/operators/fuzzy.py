@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.checkpoints import cut, small
+
 # Words that company names are compared without.
 STOP_WORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "llc", "ltd", "limited", "group", "holdings", "industries", "industies", "the", "and")
 # Rows of the keyboard, from which neighbouring keys follow.
@@ -69,26 +71,68 @@ def weighted_distance(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(x, first, row), -1)
 
 
-def suggest(queries: DataFrame, dictionary: DataFrame, k: int = 5, max_distance: float = 3.0, weighted: bool = True, block: int = 0) -> DataFrame:
+#: Words of up to this length are found by what is left of them after deletions, longer ones by pieces.
+SHORT = 14
+
+
+def _deletions(word: Column, reach: int) -> Column:
+    """The word and all that is left of it after up to ``reach`` deletions."""
+    less = lambda w: F.when(F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(F.array().cast("array<string>"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(reach)), F.array(word), lambda acc, _: F.array_union(acc, F.flatten(F.transform(acc, less)))) if reach else F.array(word)
+
+
+def near_words(asked: DataFrame, known: DataFrame, reach: int) -> DataFrame:
+    """(word, suggestion): candidates, among which are all pairs of asked.word and known.suggestion within ``reach`` edits.
+
+    Words within k edits have a common rest after up to k deletions each; that index is a table of rests, joined by equality.
+    Longer words would have too many rests: they are cut into k + 1 pieces, one of which k edits leave whole, at most k places
+    off. The index grows with the words, whatever their number of pairs.
+    """
+    limit = SHORT + reach
+    rests = lambda df, c: df.where(F.length(c) <= limit).select(c, F.explode(_deletions(F.col(c), reach)).alias("rest"))
+    short = rests(asked, "word").join(rests(known, "suggestion"), "rest").select("word", "suggestion")
+    cut_at = lambda n, i: F.floor(n * i / (reach + 1)).cast("int")
+    numbers = F.sequence(F.lit(0), F.lit(reach))
+    pieces = known.where(F.length("suggestion") > SHORT).select("suggestion", F.length("suggestion").alias("n"), F.explode(numbers).alias("i"))
+    pieces = pieces.select("suggestion", "n", "i", F.substring("suggestion", cut_at(F.col("n"), F.col("i")) + 1, cut_at(F.col("n"), F.col("i") + 1) - cut_at(F.col("n"), F.col("i"))).alias("piece"))
+    probes = asked.where(F.length("word") > SHORT).select("word", F.explode(F.sequence(F.length("word") - reach, F.length("word") + reach)).alias("n")).where(F.col("n") > SHORT)
+    probes = probes.select("word", "n", F.explode(numbers).alias("i")).select("word", "n", "i", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("off"))
+    start = cut_at(F.col("n"), F.col("i")) + F.col("off")
+    probes = probes.where(start >= 0).select("word", "n", "i", F.substring("word", start + 1, cut_at(F.col("n"), F.col("i") + 1) - cut_at(F.col("n"), F.col("i"))).alias("piece"))
+    long = probes.join(pieces, ["n", "i", "piece"]).select("word", "suggestion")
+    return short.union(long).distinct()
+
+
+def suggest(queries: DataFrame, dictionary: DataFrame, k: int = 5, max_distance: float = 3.0, weighted: bool = True, reach: int = 3) -> DataFrame:
     """(word, suggestion, distance, place): the k nearest dictionary words for each distinct query.
 
     dictionary: (word, frequency). Ties go to the more frequent, then to the lesser word; a known word suggests itself alone.
-    Candidates are joined on length, within ``max_distance``, and with ``block`` also on the first letters, so no pair is
-    formed that the length rules out.
+    Candidates come from :func:`near_words` within ``reach`` edits; every edit costs at least 1, or a half if weighted, so
+    nothing within ``reach`` or half of it is missed. Only words that have fewer than k suggestions that near, and could have
+    some further off, are compared with all words of near length.
     """
     known = dictionary.groupBy("word").agg(F.max("frequency").alias("frequency"))
     asked = queries.select("word").where("word is not null").distinct()
     exact = asked.join(known, "word", "left_semi").select("word", F.col("word").alias("suggestion"), F.lit(0.0).alias("distance"), F.lit(1).alias("place"))
-    reach = int(max_distance)
-    left = asked.join(known, "word", "left_anti").withColumn("_n", F.explode(F.sequence(F.length("word") - reach, F.length("word") + reach)))
-    right = known.select(F.col("word").alias("suggestion"), "frequency", F.length("word").alias("_n"))
-    on = ["_n"]
-    if block:
-        left, right, on = left.withColumn("_b", F.substring("word", 1, block)), right.withColumn("_b", F.substring("suggestion", 1, block)), ["_n", "_b"]
+    left = asked.join(known, "word", "left_anti")
+    right = known.select(F.col("word").alias("suggestion"), "frequency")
+    least = 0.5 if weighted else 1.0
+    reach = min(reach, int(max_distance / least))
+    sure = min(reach * least, max_distance)  # complete up to this distance
     distance = weighted_distance(F.col("word"), F.col("suggestion")) if weighted else F.levenshtein("word", "suggestion").cast("double")
-    scored = left.join(right, on).withColumn("distance", distance).where(F.col("distance") <= max_distance)
-    place = F.row_number().over(Window.partitionBy("word").orderBy("distance", F.desc("frequency"), "suggestion"))
-    return exact.unionByName(scored.withColumn("place", place).where(F.col("place") <= k).select("word", "suggestion", "distance", "place"))
+    fold = F.lower if weighted else lambda c: F.col(c)
+    left, right = left.withColumn("_w", fold("word")), right.withColumn("_s", fold("suggestion"))
+    close = near_words(left.select(F.col("_w").alias("word")).distinct(), right.select(F.col("_s").alias("suggestion")).distinct(), reach).toDF("_w", "_s")
+    scored = left.join(close, "_w").join(right, "_s").select("word", "suggestion", "frequency", distance.alias("distance")).where(F.col("distance") <= max_distance)
+    order = Window.partitionBy("word").orderBy("distance", F.desc("frequency"), "suggestion")
+    if sure < max_distance:
+        scored = cut(scored.where(F.col("distance") <= sure))
+        full = scored.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        span = int(max_distance)
+        rest = left.join(full, "word", "left_anti").withColumn("_n", F.explode(F.sequence(F.length("word") - span, F.length("word") + span)))
+        far = rest.join(right.withColumn("_n", F.length("suggestion")), "_n").select("word", "suggestion", "frequency", distance.alias("distance"))
+        scored = scored.unionByName(far.where((F.col("distance") <= max_distance) & (F.col("distance") > sure)))
+    return exact.unionByName(scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("word", "suggestion", "distance", "place"))
 
 
 class SpellChecker:
@@ -110,20 +154,39 @@ class SpellChecker:
         return suggest(queries, self.dictionary, k, max_distance)
 
 
-def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str = "name", right_key: str = "name", left_id: str = "left_id", right_id: str = "right_id", threshold: float = 0.55, block_chars: int = 2) -> DataFrame:
+#: Right rows of a block that meet a left row in one task; larger blocks are dealt over several.
+BLOCK = 2048
+
+
+def fuzzy_join(left: DataFrame, right: DataFrame, left_key: str = "name", right_key: str = "name", left_id: str = "left_id", right_id: str = "right_id", threshold: float = 0.55, block_chars: int = 2, block_rows: int = BLOCK) -> DataFrame:
     """Outer join on similar names: (left_id, left_name, right_id, right_name, score, status).
 
-    Only names whose normal forms start alike are compared. Each left row takes its best right row (ties: least right_id) if
-    that reaches the threshold, else stays alone with its best score; right rows that no left row took follow.
+    Only names whose normal forms, without spaces, start alike are compared. Each left row takes its best right row (ties: least
+    right_id) if that reaches the threshold, else stays alone with its best score; right rows that no left row took follow.
+
+    A pair's score is at most the lesser number of words over the greater one, so pairs that this rules out are scored only for
+    left rows that found no match, for the score they are left with. Blocks of more than ``block_rows`` right rows are dealt
+    over several tasks, to each of which the block's left rows go; the best is found by partial aggregation.
     """
-    side = lambda df, i, k, s: df.select(F.col(i).alias(f"{s}_id"), F.col(k).alias(f"{s}_name"), tokens(F.col(k)).alias(f"{s}_t"), F.substring(normalize(F.col(k)), 1, block_chars).alias("block"))
-    lefts, rights = side(left, left_id, left_key, "left"), side(right, right_id, right_key, "right")
-    pairs = lefts.where("block <> ''").join(rights.where("block <> ''"), "block").withColumn("score", token_similarity(F.col("left_t"), F.col("right_t")))
-    best = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id"))
-    top = pairs.withColumn("_n", best).where("_n = 1").select("left_id", "right_id", "right_name", "score")
+    key = lambda c: F.substring(F.replace(normalize(c), F.lit(" "), F.lit("")), 1, block_chars)
+    side = lambda df, i, k, s: df.select(F.col(i).alias(f"{s}_id"), F.col(k).alias(f"{s}_name"), tokens(F.col(k)).alias(f"{s}_t"), key(F.col(k)).alias("block"))
+    lefts, rights = cut(side(left, left_id, left_key, "left")), cut(side(right, right_id, right_key, "right"))
+    filled = rights.where("block <> ''")
+    deals = cut(filled.groupBy("block").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("deals")))
+    asks = lefts.where("block <> ''").join(small(deals), "block").withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).drop("deals")
+    gives = filled.join(small(deals), "block").withColumn("deal", F.pmod(F.xxhash64("right_id", "right_name"), F.col("deals")).cast("int")).drop("deals")
+    bound = F.least(F.size("left_t"), F.size("right_t")) / F.greatest(F.size("left_t"), F.size("right_t"))
+
+    def best(asking: DataFrame, which: Column) -> DataFrame:
+        pairs = asking.join(gives, ["block", "deal"]).where(which).withColumn("score", token_similarity(F.col("left_t"), F.col("right_t")))
+        return pairs.groupBy("left_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "right_id", "right_name")).alias("b"))
+
+    near = cut(best(asks, bound >= threshold))
+    open_ = asks.join(near.where(-F.col("b.s") >= threshold).select("left_id"), "left_id", "left_anti")
+    top = near.unionByName(best(open_, bound < threshold)).groupBy("left_id").agg(F.min("b").alias("b")).select("left_id", F.col("b.right_id").alias("right_id"), F.col("b.right_name").alias("right_name"), (-F.col("b.s")).alias("score"))
     joined = lefts.select("left_id", "left_name").join(top, "left_id", "left")
     hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
-    matched = joined.select("left_id", "left_name", F.when(hit, F.col("right_id")).alias("right_id"), F.when(hit, F.col("right_name")).alias("right_name"), F.coalesce("score", F.lit(0.0)).alias("score"), F.when(hit, "matched").otherwise("left_only").alias("status"))
+    matched = joined.select("left_id", "left_name", F.when(hit, F.col("right_id")).alias("right_id"), F.when(hit, F.col("right_name")).alias("right_name"), F.coalesce(F.col("score") + 0.0, F.lit(0.0)).alias("score"), F.when(hit, "matched").otherwise("left_only").alias("status"))
     alone = rights.join(matched.where("status = 'matched'").select("right_id"), "right_id", "left_anti")
     alone = alone.select(F.lit(None).cast(lefts.schema["left_id"].dataType).alias("left_id"), F.lit(None).cast("string").alias("left_name"), "right_id", "right_name", F.lit(0.0).alias("score"), F.lit("right_only").alias("status"))
     return matched.unionByName(alone)

@@ -1,7 +1,7 @@
 """Outlier flags by quartiles, z-score and median deviation, and their majority vote.
 
-Flags are window expressions over ``by``; with no key columns, use :func:`detect_outliers`, which joins one row of
-statistics instead of moving everything to one partition. Nulls and NaN are never outliers.
+Statistics are joined to the rows, one row a group; quartiles and medians are found by selection (``quantiles``), so no
+group's values meet in one task. Nulls and NaN are never outliers.
 """
 
 from __future__ import annotations
@@ -9,15 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.quantiles import group_quantiles
+from millrace.plans.checkpoints import cut, small
+
 
 def detect_outliers(df: DataFrame, value_col: str = "value", group_col: str | None = None, k: float = 1.5, z: float = 3.0, mad: float = 3.5) -> DataFrame:
     """With iqr, zscore, mad (flags), score (their number) and outlier (two or more). Rows of the null group score 0."""
     rows = df.withColumn("_x", F.nanvl(F.col(value_col).cast("double"), F.lit(None))).withColumn("_g", F.col(group_col) if group_col else F.lit(0))
-    part = lambda p: F.percentile("_x", F.lit(p))
-    stats = rows.where("_g is not null").groupBy("_g").agg(part(0.25).alias("_q1"), part(0.75).alias("_q3"), F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_std"), part(0.5).alias("_med"))
-    with_stats = rows.join(stats, "_g", "left")
-    spread = with_stats.where("_g is not null").groupBy("_g").agg(F.percentile(F.abs(F.col("_x") - F.col("_med")), F.lit(0.5)).alias("_mad"))
-    rows = with_stats.join(spread, "_g", "left")
+    known = rows.where("_g is not null").select("_g", "_x")
+    moments = known.groupBy("_g").agg(F.avg("_x").alias("_mean"), F.stddev_pop("_x").alias("_std"))
+    middle = cut(group_quantiles(known, "_x", (0.25, 0.5, 0.75), ("_q1", "_med", "_q3"), "_g"))
+    gaps = known.join(small(middle.select("_g", "_med")), "_g").select("_g", F.abs(F.col("_x") - F.col("_med")).alias("_gap"))
+    stats = cut(moments.join(middle, "_g").join(group_quantiles(gaps, "_gap", (0.5,), ("_mad",), "_g"), "_g"))
+    rows = rows.join(small(stats), "_g", "left")
     width = F.col("_q3") - F.col("_q1")
     flag = lambda c: F.coalesce(c, F.lit(False))
     return (

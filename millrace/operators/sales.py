@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.scan import PART, blocks, ordered, running
+
 from millrace.plans.checkpoints import cut
 
 
@@ -38,6 +40,10 @@ def yoy_growth(df: DataFrame, key: Sequence[str], year: str, measure: str, first
 def rolling_trend(df: DataFrame, group: Sequence[str], period: str, measure: str, window: int = 3) -> DataFrame:
     """Sum by group and period, and its mean over the last ``window`` rows (periods without rows are skipped)."""
     total = df.groupBy(*group, period).agg(F.sum(measure).alias(measure))
+    if not group:
+        rows = blocks(running(ordered(total, [period]), [period], _at=("sum", F.lit(1))), "_at", window - 1)
+        over = Window.partitionBy("_block").orderBy("_at").rowsBetween(-(window - 1), 0)
+        return rows.withColumn(f"rev_rolling_{window}m", F.avg(measure).over(over)).where("_own").drop(PART, "_at", "_block", "_own")
     over = Window.partitionBy(*group).orderBy(period).rowsBetween(-(window - 1), 0)
     return total.withColumn(f"rev_rolling_{window}m", F.avg(measure).over(over))
 

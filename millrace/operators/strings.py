@@ -104,3 +104,22 @@ def word_break(s: Column, dictionary: Column) -> Column:
         lambda acc, i: F.array_append(acc, F.exists(F.sequence(F.greatest(F.lit(0), i - longest), i - 1), lambda j: F.element_at(acc, j + 1) & F.array_contains(dictionary, F.substring(s, j + 1, i - j)))),
     )
     return F.when(F.length(s) == 0, F.lit(True)).otherwise(F.element_at(ok, -1))
+
+
+def segmentable(texts: DataFrame, dictionary: DataFrame, key: str = "id", text: str = "s", word: str = "word") -> DataFrame:
+    """(key, breaks): whether each text is a sequence of words of a dictionary table; the empty string is, null is not.
+
+    Stretches of a text of the lengths that the dictionary has are joined with its words, so the dictionary is a table that is
+    read once, not an array with every row; what matches are steps from place to place, and a text's own steps, in order of
+    their starts, tell which places can be reached. Rows are told apart by ``key``; rows of one key have to have one text.
+    """
+    words = dictionary.select(F.col(word).alias("w")).where("w is not null and w <> ''").distinct()
+    lengths = words.select(F.length("w").alias("n")).distinct()
+    rows = texts.select(F.col(key).alias("k"), F.col(text).alias("s")).distinct()
+    places = rows.select("k", "s", F.explode(F.sequence(F.lit(0), F.length("s") - 1)).alias("at")).where("at >= 0 and at < length(s)")
+    pieces = places.join(F.broadcast(lengths), F.col("at") + F.col("n") <= F.length("s")).select("k", "at", F.col("n"), F.substring("s", F.col("at") + 1, F.col("n")).alias("w"))
+    steps = pieces.join(words, "w").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("at") + F.col("n")).alias("to")))).alias("steps"))
+    reached = F.aggregate("steps", F.array(F.lit(0)), lambda seen, x: F.when(F.array_contains(seen, x["at"]) & ~F.array_contains(seen, x["to"]), F.array_append(seen, x["to"])).otherwise(seen))
+    joined = rows.join(steps.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left")
+    found = F.when(F.length("s") == 0, F.lit(True)).otherwise(F.coalesce(F.array_contains(reached, F.length("s")), F.lit(False)))
+    return joined.select(F.col("k").alias(key), found.alias("breaks"))
