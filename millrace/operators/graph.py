@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.checkpoints import cut, release
-from millrace.plans.fixpoint import connected_components, strong_components
+from millrace.plans.fixpoint import connected_components, nodes_of_cycles
 
 
 def prefix_roots(names: DataFrame, column: str, prefix: str, ignore_case: bool = True) -> DataFrame:
@@ -152,11 +152,9 @@ def islands(cells: DataFrame, tile: int = 256) -> DataFrame:
 
 
 def can_finish(edges: DataFrame, by: str = "case_id", before: str = "parent", after: str = "child") -> DataFrame:
-    """(by, can_finish): whether each case's graph has no cycle: no strong component of two nodes or more and no loop."""
+    """(by, can_finish): whether each case's graph has no cycle. Null ends are ignored; the null case always can."""
     cases = edges.select(by).distinct()
     key = lambda c: F.struct(F.col(by).alias("by"), F.col(c).alias("node"))
     live = edges.where(F.col(before).isNotNull() & F.col(after).isNotNull() & F.col(by).isNotNull())
-    parts = strong_components(live.select(key(before).alias("src"), key(after).alias("dst")))
-    stuck = parts.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component.by").alias(by))
-    stuck = stuck.union(live.where(F.col(before) == F.col(after)).select(by)).distinct().withColumn("_stuck", F.lit(True))
-    return cases.join(stuck, by, "left").select(by, F.col("_stuck").isNull().alias("can_finish"))
+    stuck = nodes_of_cycles(live.select(key(before).alias("src"), key(after).alias("dst"))).select(F.col("node.by").alias(by)).distinct()
+    return cases.join(stuck.withColumn("_stuck", F.lit(True)), by, "left").select(by, F.col("_stuck").isNull().alias("can_finish"))

@@ -63,5 +63,5 @@ def group_quantiles(df: DataFrame, value: str, shares: Sequence[float], names: S
     values = wanted.select(F.col("g").alias("vg"), "rank", double_of(F.col("prefix")).alias("x")).groupBy("vg").agg(F.map_from_entries(F.collect_list(F.struct("rank", "x"))).alias("v"))
     rows = groups.join(values, F.col("g").eqNullSafe(F.col("vg")))
     low, high = ([F.element_at("v", f(a)) for a in at] for f in (F.floor, F.ceil))
-    between = [F.when(a == F.floor(a), x).otherwise(x + (y - x) * (a - F.floor(a))) for a, x, y in zip(at, low, high, strict=True)]
+    between = [F.when(a == F.floor(a), x).otherwise(x * (1.0 - (a - F.floor(a))) + y * (a - F.floor(a))) for a, x, y in zip(at, low, high, strict=True)]
     return rows.select(*([F.col("g").alias(group)] if group else []), *(b.alias(n) for b, n in zip(between, names, strict=True)))

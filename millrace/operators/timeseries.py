@@ -37,11 +37,12 @@ def fill_strategies(reg: DataFrame, by: Sequence[str] = (), ts: str = "ts", valu
         rows = running(numbered, [ts], _p=("last", known), _n=("next", known)).join(F.broadcast(hours), F.hour(ts).eqNullSafe(F.col("_hour")))
         return _filled(rows, value, F.col("_mean")).drop("_hour", "_mean", PART)
     order = Window.partitionBy(*by).orderBy(ts)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    back = order.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0)
     at = F.row_number().over(order)
     reg = reg.withColumn("_at", at)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(value).alias("v")))
-    reg = reg.withColumn("_p", F.last(known, True).over(back)).withColumn("_n", F.first(known, True).over(ahead))
+    reg = reg.withColumn("_p", F.last(known, True).over(back)).withColumn("_n", F.last(known, True).over(ahead))
     return _filled(reg, value, F.avg(value).over(Window.partitionBy(*by, F.hour(ts))))
 
 

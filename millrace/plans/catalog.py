@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import evaluate
 from millrace.functions.templates import render_template
-from millrace.operators import access_map, fuzzy, graph, intervals, outliers, sales, strings, tables, timeseries, upsert
+from millrace.operators import access_map, fuzzy, graph, intervals, outliers, quantiles, sales, strings, tables, timeseries, upsert
 from millrace.plans.checkpoints import shared_dir
+from millrace.plans.fixpoint import strong_components
 from millrace.session import table, warehouse
 from millrace.streaming import events as event_streams
 from millrace.streaming import lru
@@ -215,6 +216,55 @@ def merge_intervals(spark, d):
     return intervals.merge_intervals(table(spark, d, "orders").select("o_custkey", day.alias("start"), (day + 20).alias("end")), ["o_custkey"])
 
 
+_ALL = """WITH h AS (SELECT date_trunc('minute', ts) AS ts, count(*)::DOUBLE AS value FROM events GROUP BY ALL), e AS (SELECT min(ts) AS a, max(ts) AS b FROM h),
+  g AS (SELECT unnest(generate_series(a, b, INTERVAL 1 MINUTE)) AS ts FROM e), r AS (SELECT CAST(g.ts AS TIMESTAMP) AS ts, value, value IS NULL AS is_missing FROM g LEFT JOIN h ON g.ts = h.ts)"""
+
+
+def _minutes(spark, d) -> DataFrame:
+    """One series of all events by minute: the order is global."""
+    rows = table(spark, d, "events").select(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("ts"))
+    return timeseries.regularize(rows.groupBy("ts").agg(F.count("*").cast("double").alias("value")), step="1 minute")
+
+
+@query("gap_fill_all", f"""{_ALL},
+  n AS (SELECT *, row_number() OVER (ORDER BY ts) AS nth FROM r), k AS (SELECT *, CASE WHEN value IS NOT NULL THEN nth END AS ka FROM n),
+  f AS (SELECT *, last_value(value IGNORE NULLS) OVER b AS pv, last_value(ka IGNORE NULLS) OVER b AS pa, first_value(value IGNORE NULLS) OVER a AS nv, first_value(ka IGNORE NULLS) OVER a AS na, avg(value) OVER (PARTITION BY hour(ts)) AS s
+    FROM k WINDOW b AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  l AS (SELECT *, CASE WHEN value IS NOT NULL THEN value WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) * ((nth - pa)::DOUBLE / (na - pa)) END AS linear, coalesce(value, s) AS seasonal FROM f)
+  SELECT ts, value, is_missing, pv AS ffill, linear, seasonal, coalesce(linear, seasonal, nv, pv) AS composite FROM l""")
+def gap_fill_all(spark, d):
+    return timeseries.fill_strategies(_minutes(spark, d))
+
+
+@query("long_gaps_all", f"""{_ALL}, n AS (SELECT *, row_number() OVER (ORDER BY ts) - row_number() OVER (PARTITION BY is_missing ORDER BY ts) AS run FROM r)
+  SELECT min(ts) AS "start", max(ts) AS "end", count(*) AS length FROM n WHERE is_missing GROUP BY run HAVING count(*) >= 3""")
+def long_gaps_all(spark, d):
+    return timeseries.long_gaps(_minutes(spark, d))
+
+
+@query("rolling_anomaly_all", f"""{_ALL}, c AS (SELECT *, coalesce(value, 0) AS v FROM r), w AS (SELECT *, count(v) OVER x AS n, avg(v) OVER x AS m, stddev_samp(v) OVER x AS s FROM c WINDOW x AS (ORDER BY ts ROWS 29 PRECEDING))
+  SELECT ts, coalesce(CASE WHEN n >= 15 AND s <> 0 THEN abs((v - m) / s) > 2.5 END, false) AS anomaly FROM w""")
+def rolling_anomaly_all(spark, d):
+    counts = _minutes(spark, d).withColumn("v", F.coalesce("value", F.lit(0.0)))
+    return timeseries.rolling_anomalies(counts, value_col="v", window=30, digits=None).select("ts", "anomaly")
+
+
+@query("merge_intervals_all", """
+  WITH i AS (SELECT epoch_us(ts) AS s, epoch_us(ts) + CAST(round(value) AS BIGINT) * 1000000 AS e FROM events), r AS (SELECT *, max(e) OVER (ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+  g AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM r)
+  SELECT min(s) AS "start", max(e) AS "end" FROM g GROUP BY run""")
+def merge_intervals_all(spark, d):
+    """Spells of as many seconds as an event's value, merged over all events."""
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    return intervals.merge_intervals(table(spark, d, "events").select(start.alias("start"), (start + F.round("value").cast("long") * 1_000_000).alias("end")))
+
+
+@query("group_quantiles", """SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1""")
+def group_quantiles_query(spark, d):
+    out = quantiles.group_quantiles(table(spark, d, "lineitem"), "l_extendedprice", (0.1, 0.5, 0.9), ("p10", "p50", "p90"), "l_suppkey")
+    return out.select("l_suppkey", *(F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")))  # engines interpolate in different order
+
+
 @query("anagram_groups", r"""
   WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS word FROM documents),
   k AS (SELECT word, array_to_string(list_sort(string_split(regexp_replace(lower(word), '[^a-z]', '', 'g'), '')), '') AS key FROM w)
@@ -255,14 +305,31 @@ def unique_windows(spark, d):
     return _names(spark, d).select("s", F.explode(strings.all_unique_windows(F.col("s"), 3)).alias("m")).select("s", "m.*")
 
 
+def _joined(spark, d):
+    """Texts made of the words of parts' names without blanks, and of the same with a letter left out."""
+    name = F.replace("p_name", F.lit(" "), F.lit(""))
+    part = table(spark, d, "part")
+    return part.select(F.concat(name, F.lower(F.substring("p_type", 1, 1))).alias("s")).union(part.select(name)).union(part.select(F.concat(F.substring(name, 1, 3), F.substring(name, 5, 99)))).union(part.select(F.concat(name, name, name))).distinct()
+
+
 @query("word_break", """
-  WITH RECURSIVE t(s, d) AS (VALUES ('leetcode', ['leet','code']), ('applepenapple', ['apple','pen']), ('catsandog', ['cats','dog','sand','and','cat']), ('a', ['a']), ('ab', ['a']), ('aaaaaaa', ['aaaa','aaa'])),
-  w AS (SELECT s, unnest(d) AS w FROM t),
-  p(s, n) AS (SELECT s, 0 FROM t UNION SELECT p.s, n + length(w.w) FROM p JOIN w ON p.s = w.s AND substr(p.s, n + 1, length(w.w)) = w.w)
+  WITH RECURSIVE d AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), n AS (SELECT replace(p_name, ' ', '') AS s, lower(substr(p_type, 1, 1)) AS x FROM part),
+  t AS (SELECT s || x AS s FROM n UNION SELECT s FROM n UNION SELECT substr(s, 1, 3) || substr(s, 5) FROM n UNION SELECT s || s || s FROM n),
+  p(s, n) AS (SELECT s, 0 FROM t UNION SELECT p.s, n + length(d.w) FROM p JOIN d ON substr(p.s, n + 1, length(d.w)) = d.w)
   SELECT t.s, EXISTS (SELECT 1 FROM p WHERE p.s = t.s AND n = length(t.s)) AS breaks FROM t""")
 def word_break(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES ('leetcode', array('leet','code')), ('applepenapple', array('apple','pen')), ('catsandog', array('cats','dog','sand','and','cat')), ('a', array('a')), ('ab', array('a')), ('aaaaaaa', array('aaaa','aaa')) AS t(s, d)")
-    return rows.select("s", strings.word_break(F.col("s"), F.col("d")).alias("breaks"))
+    texts = _joined(spark, d).select("s", F.col("s").alias("id"))
+    return strings.segmentable(texts, _dictionary(spark, d)).withColumnRenamed("id", "s")
+
+
+@query("highlight_unique", f"""SELECT s, substr(s, 1, "start") || '**' || content || '**' || substr(s, "end" + 2) AS marked FROM ({_longest("kinds = n")})""")
+def highlight_unique(spark, d):
+    return _names(spark, d).select("s", strings.highlight(F.col("s"), strings.longest_unique_substring(F.col("s"))).alias("marked"))
+
+
+@query("anagram_summary", f"""WITH g AS ({SQL["anagram_groups"]}) SELECT count(*) AS groups, coalesce(sum(n), 0)::BIGINT AS words, coalesce(max(n), 0) AS largest, round_even(coalesce(avg(n), 0), 2) AS average FROM g""")
+def anagram_summary(spark, d):
+    return strings.anagram_summary(anagram_groups(spark, d))
 
 
 def _dictionary(spark, d):
@@ -285,14 +352,43 @@ def spell_suggest(spark, d):
     return fuzzy.suggest(_misspelt(spark, d), _dictionary(spark, d), weighted=False)
 
 
-@query("spell_weighted")
+_NEAR_KEYS = ", ".join(f"'{x}'" for x in fuzzy.key_neighbours())
+# a row of the distance table is a list; one step a letter of the first word, and within it one a letter of the second
+_WEIGHTED = f"""list_reduce(list_concat([list_transform(range(0, length(b) + 1), lambda j: j::DOUBLE)], list_transform(string_split(a, ''), lambda x: [ascii(x)::DOUBLE])),
+    lambda row, x: list_reduce(list_concat([[row[1] + 1]], list_transform(range(1, length(b) + 1), lambda j: [j::DOUBLE])),
+      lambda acc, j: list_append(acc, least(acc[-1] + 1, row[j[1]::INT + 1] + 1, row[j[1]::INT] + CASE WHEN chr(x[1]::INT) = substr(b, j[1]::INT, 1) THEN 0 WHEN chr(x[1]::INT) || substr(b, j[1]::INT, 1) IN ({_NEAR_KEYS}) THEN 0.5 ELSE 1 END))))[-1]"""
+
+
+@query("spell_weighted", f"""
+  WITH k AS (SELECT unnest(string_split(p_name, ' ')) AS word FROM part), d AS (SELECT word, count(*) AS f FROM k GROUP BY 1),
+  q AS (SELECT DISTINCT substr(word, 1, 2) || substr(word, 4, 99) AS word FROM d UNION SELECT word FROM d),
+  c AS (SELECT q.word AS a, d.word AS b, f FROM q, d WHERE q.word NOT IN (SELECT word FROM d)),
+  s AS (SELECT a AS word, b AS suggestion, {_WEIGHTED} AS distance, f FROM c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, f DESC, suggestion) AS place FROM s WHERE distance <= 3)
+  SELECT word, suggestion, distance, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5
+  UNION ALL SELECT q.word, q.word, 0, 1 FROM q JOIN d ON q.word = d.word""")
 def spell_weighted(spark, d):
     return fuzzy.suggest(_misspelt(spark, d), _dictionary(spark, d))
 
 
-@query("fuzzy_join")
+_STOPPED = ", ".join(f"'{x}'" for x in fuzzy.STOP_WORDS)
+_TOKEN_MATCH = "(y = x[1] OR (abs(length(y) - length(x[1])) <= 3 AND levenshtein(y, x[1]) <= greatest(1, greatest(length(y), length(x[1])) // 4)))"
+
+
+@query("fuzzy_join", f"""
+  WITH l AS (SELECT p_name || ' ' || p_brand AS name, min(p_partkey) AS id FROM part GROUP BY 1), r AS (SELECT upper(substr(name, 1, 3)) || substr(name, 5, 99) || ', Inc.' AS name, id FROM l),
+  n AS (SELECT 'l' AS side, * FROM l UNION ALL SELECT 'r', * FROM r),
+  p AS (SELECT side, id, name, list_filter(string_split_regex(regexp_replace(lower(name), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN ({_STOPPED})) AS ws FROM n),
+  t AS (SELECT side, id, name, list_sort(list_distinct(ws)) AS t, substr(array_to_string(ws, ''), 1, 2) AS block FROM p),
+  c AS (SELECT a.id AS left_id, a.name AS left_name, b.id AS right_id, b.name AS right_name, a.t AS ta, b.t AS tb FROM t a JOIN t b ON a.side = 'l' AND b.side = 'r' AND a.block = b.block AND a.block <> ''),
+  s AS (SELECT left_id, left_name, right_id, right_name, (len(tb) - len(list_reduce(list_concat([tb], list_transform(ta, lambda z: [z])), lambda free, x: CASE WHEN len(list_filter(free, lambda y: {_TOKEN_MATCH})) > 0
+      THEN list_filter(free, lambda y: y <> list_filter(free, lambda y: {_TOKEN_MATCH})[1]) ELSE free END)))::DOUBLE / len(list_distinct(list_concat(ta, tb))) AS score FROM c WHERE len(ta) > 0 AND len(tb) > 0),
+  o AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS nth FROM s),
+  m AS (SELECT l.id AS left_id, l.name AS left_name, CASE WHEN score >= 0.55 THEN right_id END AS right_id, CASE WHEN score >= 0.55 THEN right_name END AS right_name, coalesce(score, 0) AS score, CASE WHEN score >= 0.55 THEN 'matched' ELSE 'left_only' END AS status
+    FROM l LEFT JOIN o ON o.left_id = l.id AND nth = 1)
+  SELECT * FROM m UNION ALL SELECT NULL, NULL, id, name, 0, 'right_only' FROM r WHERE id NOT IN (SELECT right_id FROM m WHERE right_id IS NOT NULL)""")
 def fuzzy_join(spark, d):
-    part = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("left_id"))
+    part = table(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name")).agg(F.min("p_partkey").alias("left_id"))
     other = part.select(F.concat(F.upper(F.substring("name", 1, 3)), F.substring("name", 5, 99), F.lit(", Inc.")).alias("name"), F.col("left_id").alias("right_id"))
     return fuzzy.fuzzy_join(part, other)
 
@@ -320,39 +416,47 @@ def leaf_map(spark, d):
     return graph.leaf_map(_places(spark, d))
 
 
-_ROLE_EDGES = [("FARMERS_MASTER1", "CHILD1"), ("FARMERS_MASTER1", "CHILD10"), ("FARMERS_MASTER2", "CHILD10"), ("CHILD1", "CHILD2"), ("CHILD2", "CHILD3"), ("CHILD2", "CHILD4"), ("CHILD10", "CHILD5")]
-_GRANTS = [("CHILD3", "DB1", "SCH1", "USAGE"), ("CHILD3", "DB1", "SCH1", "SELECT"), ("CHILD4", "DB2", "SCH2", "USAGE"), ("CHILD5", "DB1", "SCH1", "USAGE"), ("CHILD5", "DB3", "SCH3", "SELECT")]
-_WAREHOUSES = [("CHILD3", "WH_A", "USAGE"), ("CHILD3", "WH_A", "OPERATE"), ("CHILD5", "WH_B", "USAGE"), ("CHILD10", "WH_A", "USAGE")]
+def _roles(spark, d):
+    """Regions over nations over suppliers over seven teams; a team has the suppliers of its number over it."""
+    team = table(spark, d, "supplier").select(F.col("s_name").alias("parent"), F.concat(F.lit("TEAM"), (F.col("s_suppkey") % 7).cast("string")).alias("child"))
+    return _places(spark, d).union(team)
 
 
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
+_ROLES = """WITH RECURSIVE e AS (SELECT r_name AS parent, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION SELECT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey UNION SELECT s_name, 'TEAM' || s_suppkey % 7 FROM supplier),
+  w(root, node, depth, path) AS (SELECT DISTINCT parent, parent, 0, [parent] FROM e WHERE upper(parent) LIKE 'NATION_1%'
+    UNION ALL SELECT w.root, e.child, depth + 1, list_append(path, e.child) FROM w JOIN e ON e.parent = w.node WHERE NOT list_contains(path, e.child) AND depth < 20)"""
 
 
-def _inline(spark, rows, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {_values(rows)} AS t({names})")
+def _warehouses(spark, d):
+    """Warehouses by role: a supplier's own, and one for every team."""
+    own = table(spark, d, "supplier").select(F.col("s_name").alias("role"), F.concat(F.lit("WH"), (F.col("s_suppkey") % 11).cast("string")).alias("warehouse"), F.when(F.col("s_suppkey") % 2 == 0, "USAGE").otherwise("OPERATE").alias("privilege"))
+    return own.union(own.select(F.concat(F.lit("TEAM"), F.substring("warehouse", 3, 1)), "warehouse", F.lit("MONITOR")).distinct())
 
 
-_MASTERS = f"""WITH RECURSIVE e(parent, child) AS (VALUES {_values(_ROLE_EDGES)}), g(role, database, schema, privilege) AS (VALUES {_values(_GRANTS)}), wh(role, warehouse, privilege) AS (VALUES {_values(_WAREHOUSES)}),
-  w(root, node, depth, path) AS (SELECT DISTINCT parent, parent, 0, [parent] FROM e WHERE upper(parent) LIKE 'FARMERS%'
-    UNION ALL SELECT w.root, e.child, depth + 1, list_append(path, e.child) FROM w JOIN e ON e.parent = w.node WHERE NOT list_contains(path, e.child) AND depth < 20)"""
+_HOUSES = """wh AS (SELECT s_name AS role, 'WH' || s_suppkey % 11 AS warehouse, CASE WHEN s_suppkey % 2 = 0 THEN 'USAGE' ELSE 'OPERATE' END AS privilege FROM supplier
+    UNION ALL SELECT DISTINCT 'TEAM' || substr((s_suppkey % 11)::VARCHAR, 1, 1), 'WH' || s_suppkey % 11, 'MONITOR' FROM supplier)"""
+
 
+_GRANTED = """g AS (SELECT s_name AS role, 'DB' || s_suppkey % 7 AS database, 'SCH' || s_suppkey % 3 AS schema, unnest(['USAGE', 'P' || s_suppkey % 2]) AS privilege FROM supplier
+    UNION ALL SELECT n_name, 'DB0', '*', 'MONITOR' FROM nation)"""
 
-@query("access_map", f"""{_MASTERS}, p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node GROUP BY ALL)
+
+@query("access_map", f"""{_ROLES}, {_GRANTED}, p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node GROUP BY ALL)
   SELECT root AS master_role, database, schema, array_to_string(list_sort(list_distinct(flatten(list(pr)))), ',') AS permissions,
     array_to_string(list_transform(list_sort(list({{'d': depth, 'n': node, 'p': array_to_string(path, '>'), 'x': array_to_string(pr, '+')}})), lambda s: s.n || '/' || s.d || '/' || s.p || '/' || s.x), ';') AS paths FROM p GROUP BY root, database, schema""")
 def access_map_query(spark, d):
-    out = access_map.build_access_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _GRANTS, "role, database, schema, privilege"))
+    out = access_map.build_access_map(_roles(spark, d), _place_grants(spark, d), "nation_1")
     text = F.transform("paths", lambda p: F.concat_ws("/", p["descendant_role"], p["depth"].cast("string"), F.array_join(p["role_path"], ">"), F.array_join(p["privileges"], "+")))
     return out.select("master_role", "database", "schema", F.array_join("permissions", ",").alias("permissions"), F.array_join(text, ";").alias("paths"))
 
 
-@query("access_records", f"""{_MASTERS}, p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node GROUP BY ALL)
+@query("access_records", f"""{_ROLES}, {_GRANTED}, p AS (SELECT root, database, schema, depth, node, path, list_sort(list(DISTINCT privilege)) AS pr FROM w JOIN g ON g.role = w.node GROUP BY ALL)
   SELECT root AS master_role, CAST(to_json({{'master_role': root, 'database': database, 'schema': schema, 'permissions': list_sort(list_distinct(flatten(list(pr)))),
     'children': list_transform(list_sort(list({{'depth': depth, 'role': node, 'path': path, 'privileges': pr}})), lambda s: {{'role': s.role, 'level': s.depth, 'path': s.path, 'privileges': s.privileges}})}}) AS VARCHAR) AS record
   FROM p GROUP BY root, database, schema""")
 def access_records(spark, d):
-    return access_map.nested_record(access_map.build_access_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _GRANTS, "role, database, schema, privilege"), shape="children"))
+    return access_map.nested_record(access_map.build_access_map(_roles(spark, d), _place_grants(spark, d), "nation_1", shape="children"))
 
 
 def _place_grants(spark, d):
@@ -391,14 +495,14 @@ def _catalog(spark, d):
     return roles.union(houses)
 
 
-@query("direct_warehouses", "SELECT n_name AS master_role, 'WH' || s_suppkey AS warehouse_name, CASE WHEN s_suppkey % 2 = 0 THEN 'USAGE' ELSE 'OPERATE' END AS privilege FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND s_suppkey % 5 <> 0")
+@query("direct_warehouses", "SELECT n_name AS master_role, 'WH' || s_suppkey AS warehouse_name, CASE WHEN s_suppkey % 2 = 0 THEN 'USAGE' ELSE 'OPERATE' END AS privilege FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_18' AND s_suppkey % 5 <> 0")
 def direct_warehouses(spark, d):
-    return access_map.direct_warehouses(_catalog(spark, d), "CHINA")
+    return access_map.direct_warehouses(_catalog(spark, d), "NATION_18")
 
 
-@query("child_roles", "SELECT n_name AS master_role, s_name AS child_role FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'CHINA' AND s_suppkey % 5 <> 0")
+@query("child_roles", "SELECT n_name AS master_role, s_name AS child_role FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name = 'NATION_18' AND s_suppkey % 5 <> 0")
 def child_roles(spark, d):
-    return access_map.child_roles(_catalog(spark, d), "CHINA")
+    return access_map.child_roles(_catalog(spark, d), "NATION_18")
 
 
 @query("catalog_edges", "SELECT DISTINCT n_name AS parent, s_name AS child FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0")
@@ -406,6 +510,16 @@ def catalog_edges(spark, d):
     return access_map.role_edges(_catalog(spark, d))
 
 
+@query("object_grants", """SELECT n_name AS role, 'DB' || s_suppkey % 7 AS database, CASE WHEN s_suppkey % 3 > 0 THEN 'SCH' || s_suppkey % 3 END AS schema, 'USAGE' AS privilege FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 <> 0""")
+def object_grants(spark, d):
+    """Databases and schemas taken from dotted names."""
+    made = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    number, inside = F.col("s_suppkey"), F.col("s_suppkey") % 3 > 0
+    name = F.concat(F.lit("DB"), (number % 7).cast("string"), F.when(inside, F.concat(F.lit(".SCH"), (number % 3).cast("string"))).otherwise(""))
+    catalog = made.select(F.when(number % 5 == 0, F.lit("2025-01-01 00:00:00")).cast("timestamp_ntz").alias("DELETED_ON"), F.lit("USAGE").alias("PRIVILEGE"), F.when(inside, "SCHEMA").otherwise("DATABASE").alias("GRANTED_ON"), name.alias("NAME"), F.lit("ROLE").alias("GRANTED_TO"), F.col("n_name").alias("GRANTEE_NAME"))
+    return access_map.object_grants(catalog, split_names=True)
+
+
 @query("insert_reload", """SELECT * FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 10 UNION ALL SELECT n_nationkey + 100, n_name, NULL FROM nation WHERE n_nationkey >= 20)""")
 def insert_reload(spark, d):
     """A table that is made, truncated, filled from itself and given further rows, which lack a column."""
@@ -424,42 +538,58 @@ def warehouse_source(spark, d):
     return warehouse(spark, f"SELECT n_regionkey, count(*) AS n FROM {view} GROUP BY 1")
 
 
-@query("path_rows", f"{_MASTERS} SELECT root, array_to_string(path, '>') AS path, node AS leaf_role, depth, database, schema, privilege FROM w JOIN g ON g.role = w.node")
+@query("path_rows", f"{_ROLES}, {_GRANTED} SELECT root, array_to_string(path, '>') AS path, node AS leaf_role, depth, database, schema, privilege FROM w JOIN g ON g.role = w.node")
 def path_rows(spark, d):
-    edges = _inline(spark, _ROLE_EDGES, "parent, child")
-    paths = graph.simple_paths(edges, graph.prefix_roots(edges, "parent", "farmers"))
-    return access_map.path_rows(paths, _inline(spark, _GRANTS, "role, database, schema, privilege")).withColumn("path", F.array_join("path", ">"))
+    edges = _roles(spark, d)
+    paths = graph.simple_paths(edges, graph.prefix_roots(edges, "parent", "nation_1"))
+    return access_map.path_rows(paths, _place_grants(spark, d)).withColumn("path", F.array_join("path", ">"))
 
 
-@query("audit_rows", f"""{_MASTERS} SELECT root AS master_role, array_to_string(path, '>') AS role_tree, depth AS level, database, coalesce(schema, '*') AS schema,
-    coalesce(array_to_string(list_sort(list(DISTINCT privilege) FILTER (privilege IS NOT NULL)), ','), '') AS permissions FROM w LEFT JOIN g ON g.role = w.node GROUP BY ALL""")
+@query("audit_rows", f"""{_ROLES}, {_GRANTED}, r AS (SELECT parent AS role FROM e UNION SELECT child FROM e),
+  v(root, node, depth, path) AS (SELECT role, role, 0, [role] FROM r WHERE upper(role) LIKE 'SUPPLIER%' OR upper(role) LIKE 'TEAM%'
+    UNION ALL SELECT v.root, e.child, depth + 1, list_append(path, e.child) FROM v JOIN e ON e.parent = v.node WHERE NOT list_contains(path, e.child) AND depth < 20)
+  SELECT root AS master_role, array_to_string(path, '>') AS role_tree, depth AS level, database, coalesce(schema, '*') AS schema,
+    coalesce(array_to_string(list_sort(list(DISTINCT privilege) FILTER (privilege IS NOT NULL)), ','), '') AS permissions FROM v LEFT JOIN g ON g.role = v.node GROUP BY ALL""")
 def audit_rows(spark, d):
-    edges = _inline(spark, _ROLE_EDGES, "parent, child")
+    """Every supplier and team, those without children or grants too, and what it reaches."""
+    edges = _roles(spark, d)
     roles = edges.select(F.col("parent").alias("role")).union(edges.select("child"))
-    out = access_map.audit_rows(edges, roles, _inline(spark, _GRANTS, "role, database, schema, privilege"), "FARMERS")
+    grants = _place_grants(spark, d)
+    out = access_map.audit_rows(edges, roles, grants, "supplier").union(access_map.audit_rows(edges, roles, grants, "team"))
     return out.withColumn("role_tree", F.array_join("role_tree", ">")).withColumn("permissions", F.array_join("permissions", ","))
 
 
-@query("warehouse_map", f"""{_MASTERS}, j AS (SELECT DISTINCT root, warehouse, depth, node, privilege, array_to_string(path, ' -> ') AS p FROM w JOIN wh ON wh.role = w.node)
+@query("warehouse_map", f"""{_ROLES}, {_HOUSES}, j AS (SELECT DISTINCT root, warehouse, depth, node, privilege, array_to_string(path, ' -> ') AS p FROM w JOIN wh ON wh.role = w.node)
   SELECT root AS master_role, array_to_string(list_sort(list(DISTINCT warehouse)), ',') AS warehouses,
     array_to_string(list_transform(list_sort(list({{'w': warehouse, 'd': depth, 'n': node, 'x': privilege, 'p': p}})), lambda s: s.w || ':' || s.p || ':' || s.x), ';') AS paths FROM j GROUP BY root""")
 def warehouse_map(spark, d):
-    out = access_map.build_warehouse_map(_inline(spark, _ROLE_EDGES, "parent, child"), _inline(spark, _WAREHOUSES, "role, warehouse, privilege"))
+    out = access_map.build_warehouse_map(_roles(spark, d), _warehouses(spark, d), "NATION_1")
     text = F.transform("paths", lambda p: F.concat_ws(":", p["warehouse"], p["path_string"], p["privilege"]))
     return out.select("master_role", F.array_join("warehouses", ",").alias("warehouses"), F.array_join(text, ";").alias("paths"))
 
 
-@query("inherited_warehouses", f"""{_MASTERS} SELECT root, array_to_string(list_sort(list(DISTINCT warehouse)), ',') AS warehouses, array_to_string(list_sort(list(DISTINCT node)), ',') AS via_roles
+@query("inherited_warehouses", f"""{_ROLES}, {_HOUSES} SELECT root, array_to_string(list_sort(list(DISTINCT warehouse)), ',') AS warehouses, array_to_string(list_sort(list(DISTINCT node)), ',') AS via_roles
   FROM w JOIN wh ON wh.role = w.node GROUP BY root""")
 def inherited_warehouses(spark, d):
-    edges = _inline(spark, _ROLE_EDGES, "parent, child")
-    out = access_map.inherited_warehouses(edges, graph.prefix_roots(edges, "parent", "FARMERS"), _inline(spark, _WAREHOUSES, "role, warehouse, privilege"))
+    edges = _roles(spark, d)
+    out = access_map.inherited_warehouses(edges, graph.prefix_roots(edges, "parent", "NATION_1"), _warehouses(spark, d))
     return out.select("root", F.array_join("warehouses", ",").alias("warehouses"), F.array_join("via_roles", ",").alias("via_roles"))
 
 
-@query("multi_parent", f"WITH e(parent, child) AS (VALUES {_values(_ROLE_EDGES)}) SELECT child, count(DISTINCT parent) AS parents FROM e GROUP BY 1 HAVING count(DISTINCT parent) > 1")
+@query("user_warehouses", f"""WITH {_HOUSES} SELECT c_name AS "NAME", s_name AS "ROLE", warehouse, privilege FROM customer JOIN supplier ON s_nationkey = c_nationkey JOIN wh ON wh.role = s_name
+  WHERE c_custkey % 5 <> 0 AND (c_custkey + s_suppkey) % 3 <> 0""")
+def user_warehouses(spark, d):
+    """Customers as users of the suppliers of their nation; some users and some grants are deleted."""
+    gone = lambda c: F.when(c, F.lit("2025-01-01 00:00:00")).cast("timestamp_ntz").alias("DELETED_ON")
+    customer = table(spark, d, "customer")
+    users = customer.select(F.col("c_name").alias("NAME"), gone(F.col("c_custkey") % 5 == 0))
+    grants = customer.join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey")).select(F.col("c_name").alias("GRANTEE_NAME"), F.col("s_name").alias("ROLE"), gone((F.col("c_custkey") + F.col("s_suppkey")) % 3 == 0))
+    return access_map.user_warehouses(users, grants, _warehouses(spark, d))
+
+
+@query("multi_parent", f"{_ROLES} SELECT child, count(DISTINCT parent) AS parents FROM e GROUP BY 1 HAVING count(DISTINCT parent) > 1")
 def multi_parent(spark, d):
-    return graph.multi_parent(_inline(spark, _ROLE_EDGES, "parent, child"))
+    return graph.multi_parent(_roles(spark, d))
 
 
 @query("dup_check", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -467,32 +597,39 @@ def dup_check(spark, d):
     return upsert.duplicate_keys(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-_TREE = [("frms1", "b"), ("b", "d"), ("frms1", "c"), ("c", "d"), ("c", "e")]
-
-
-@query("tree_json", """SELECT 'frms1' AS root, '{"parent":"frms1","children":[{"role":"b","children":[{"role":"d"}]},{"role":"c","children":[{"role":"d"},{"role":"e"}]}]}' AS tree""")
+@query("tree_json", """WITH s AS (SELECT s_nationkey, string_agg('{"role":"' || s_name || '","children":[{"role":"TEAM' || s_suppkey % 7 || '"}]}', ',' ORDER BY s_name) AS t FROM supplier GROUP BY 1),
+  n AS (SELECT n_regionkey, string_agg('{"role":"' || n_name || '"' || CASE WHEN t IS NULL THEN '' ELSE ',"children":[' || t || ']' END || '}', ',' ORDER BY n_name) AS t FROM nation LEFT JOIN s ON s_nationkey = n_nationkey GROUP BY 1)
+  SELECT r_name AS root, '{"parent":"' || r_name || '","children":[' || t || ']}' AS tree FROM region JOIN n ON n_regionkey = r_regionkey""")
 def tree_json(spark, d):
-    return graph.tree_json(_inline(spark, _TREE, "parent, child"))
+    return graph.tree_json(_roles(spark, d))
 
 
-_GRIDS = [("one", ["11110", "11010", "11000", "00000"]), ("three", ["11000", "11000", "00100", "00011"]), ("none", ["000"]), ("single", ["1"]), ("eight", ["10101", "01010", "10101"])]
-_CELLS = [(g, r, c) for g, rows in _GRIDS for r, line in enumerate(rows) for c, x in enumerate(line) if x == "1"]
+def _cells(spark, d):
+    return table(spark, d, "events").select(F.col("event_type").alias("grid_id"), (F.col("user_id") % 100).alias("r"), F.expr("unix_seconds(cast(ts as timestamp)) div 3600 % 100").alias("c"))
 
 
-@query("islands", f"""WITH RECURSIVE l(g, r, c) AS (VALUES {", ".join(f"('{g}', {r}, {c})" for g, r, c in _CELLS)}),
-  w(g, r, c, a) AS (SELECT g, r, c, r * 100 + c FROM l UNION SELECT l.g, l.r, l.c, w.a FROM w JOIN l ON l.g = w.g AND abs(l.r - w.r) + abs(l.c - w.c) = 1)
+@query("islands", """WITH RECURSIVE l AS (SELECT DISTINCT event_type AS g, user_id % 100 AS r, CAST(epoch(ts) AS BIGINT) // 3600 % 100 AS c FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)),
+  w(g, r, c, a) AS (SELECT g, r, c, r * 100 + c FROM l UNION SELECT l.g, l.r, l.c, w.a FROM w JOIN l ON l.g = w.g AND ((l.r = w.r AND l.c IN (w.c - 1, w.c + 1)) OR (l.c = w.c AND l.r IN (w.r - 1, w.r + 1))))
   SELECT g AS grid_id, count(DISTINCT m) AS islands FROM (SELECT g, r, c, min(a) AS m FROM w GROUP BY ALL) GROUP BY g""")
 def islands(spark, d):
-    return graph.islands(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{g}', {r}, {c})" for g, r, c in _CELLS) + " AS t(grid_id, r, c)"))
-
+    """A grid of users and hours for every type of event; small tiles, so that islands cross them."""
+    return graph.islands(_cells(spark, d), 16)
 
-_CASES = [("1", "0", "1"), ("2", "0", "1"), ("2", "1", "0"), ("3", "0", "1"), ("3", "0", "2"), ("3", "1", "3"), ("3", "2", "3"), ("4", "0", "1"), ("4", "1", "2"), ("4", "2", "0"), ("4", "2", "3")]
 
-
-@query("cycle_check", f"""WITH RECURSIVE e(k, a, b) AS (VALUES {_values(_CASES)}), w(k, a, b) AS (SELECT k, a, b FROM e UNION SELECT w.k, w.a, e.b FROM w JOIN e ON e.k = w.k AND e.a = w.b)
+@query("cycle_check", """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS k, l_partkey % 7 AS a, l_suppkey % 7 AS b FROM lineitem), w(k, a, b) AS (SELECT k, a, b FROM e UNION SELECT w.k, w.a, e.b FROM w JOIN e ON e.k = w.k AND e.a = w.b)
   SELECT k AS case_id, NOT bool_or(a = b) AS can_finish FROM w GROUP BY k""")
 def cycle_check(spark, d):
-    return graph.can_finish(_inline(spark, _CASES, "case_id, parent, child"))
+    """Whether the lines of an order, each a step from a class of parts to a class of suppliers, ever come back."""
+    return graph.can_finish(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), (F.col("l_partkey") % 7).alias("parent"), (F.col("l_suppkey") % 7).alias("child")))
+
+
+@query("strong_components", """WITH RECURSIVE o AS (SELECT o_custkey AS a, o_orderkey % 1499 AS b FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
+  e AS (SELECT DISTINCT a, b FROM o), n AS (SELECT a FROM e UNION SELECT b FROM e), w(a, b) AS (SELECT a, b FROM e UNION SELECT w.a, e.b FROM w JOIN e ON e.a = w.b)
+  SELECT n.a AS node, least(n.a, coalesce(min(x.b), n.a)) AS component FROM n LEFT JOIN (SELECT w.a, w.b FROM w JOIN w v ON w.a = v.b AND w.b = v.a) x ON x.a = n.a GROUP BY n.a""")
+def strong_components_query(spark, d):
+    """Customers linked by their finished urgent orders to the customer of the order's number."""
+    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return strong_components(orders.select("o_custkey", (F.col("o_orderkey") % 1499).alias("other")), "o_custkey", "other")
 
 
 @query("expr_eval", """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) + greatest(l_quantity, 10) AS a,
@@ -510,6 +647,16 @@ def template_render(spark, d):
     return rows.select("c_custkey", render_template(source, rows).alias("text"))
 
 
+@query("template_nested", """SELECT n_name || ': ' || coalesce(array_to_string(list_transform(list_sort(list(s_name) FILTER (s_name IS NOT NULL)), lambda x, i: i || '=' || x), ';'), '') || '; ' || array_to_string(list_transform(string_split(r_name, ' '), lambda x: substr(x, 1, 1) || lower(substr(x, 2))), ' ') AS text
+  FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, r_name""")
+def template_nested(spark, d):
+    """Loops over arrays of structs, dotted names and title case."""
+    nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    rows = nation.groupBy("n_name", "r_name").agg(F.array_sort(F.collect_list(F.when(F.col("s_name").isNotNull(), F.struct("s_name")))).alias("all")).select(F.struct("n_name", F.lower("r_name").alias("r_name")).alias("place"), "all")
+    source = "{{ place.n_name }}: {% for s in all %}{{ loop.index1 }}={{ s.s_name }}{% if loop.last %}{% else %};{% endif %}{% endfor %}; {{ place.r_name | title }}"
+    return rows.select(render_template(source, rows).alias("text"))
+
+
 def _nation_news(spark, d):
     nation = table(spark, d, "nation")
     return nation.where("n_nationkey % 3 = 0").select("n_nationkey", F.upper(F.concat("n_name", F.lit("!"))).alias("n_name"), "n_regionkey").union(nation.where("n_nationkey < 3").select(F.col("n_nationkey") + 100, "n_name", "n_regionkey"))

@@ -45,10 +45,12 @@ def running(df: DataFrame, order: Sequence[str], **values: tuple[str, Column]) -
     names = {name: f"_carried_{name}" for name in values}
     carry = df.sparkSession.createDataFrame(list(carried.values()), fields).select(PART, *(F.col(n).alias(c) for n, c in names.items()))
     window = Window.partitionBy(PART).orderBy(*order)
-    upto, before, after = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(0, Window.unboundedFollowing)
+    upto, before = window.rowsBetween(Window.unboundedPreceding, 0), window.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows is what precedes in falling order: a frame that grows is filled once, one that shrinks again for every row
+    after = Window.partitionBy(PART).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     local = {
         "sum": lambda c, old: F.coalesce(F.sum(c).over(upto), F.lit(0)) + old, "max": lambda c, old: F.greatest(F.max(c).over(upto), old), "before": lambda c, old: F.greatest(F.max(c).over(before), old),
-        "last": lambda c, old: F.coalesce(F.last(c, True).over(upto), old), "next": lambda c, old: F.coalesce(F.first(c, True).over(after), old),
+        "last": lambda c, old: F.coalesce(F.last(c, True).over(upto), old), "next": lambda c, old: F.coalesce(F.last(c, True).over(after), old),
     }
     out = df.join(F.broadcast(carry), PART)
     return out.select(*df.columns, *(local[kind](c, F.col(names[name])).alias(name) for name, (kind, c) in values.items()))

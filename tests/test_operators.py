@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 from millrace.functions.expressions import ExpressionError, evaluate
 from millrace.functions.templates import TemplateError, render_template
 from millrace.operators import access_map, fuzzy, graph, intervals, outliers, sales, strings, timeseries, upsert
-from millrace.plans import catalog
 from millrace.streaming.lru import replay
 
 
+ROLE_EDGES = [("FARMERS_MASTER1", "CHILD1"), ("FARMERS_MASTER1", "CHILD10"), ("FARMERS_MASTER2", "CHILD10"), ("CHILD1", "CHILD2"), ("CHILD2", "CHILD3"), ("CHILD2", "CHILD4"), ("CHILD10", "CHILD5")]
+GRANTS = [("CHILD3", "DB1", "SCH1", "USAGE"), ("CHILD3", "DB1", "SCH1", "SELECT"), ("CHILD4", "DB2", "SCH2", "USAGE"), ("CHILD5", "DB1", "SCH1", "USAGE"), ("CHILD5", "DB3", "SCH3", "SELECT")]
+WAREHOUSES = [("CHILD3", "WH_A", "USAGE"), ("CHILD3", "WH_A", "OPERATE"), ("CHILD5", "WH_B", "USAGE"), ("CHILD10", "WH_A", "USAGE")]
+
+
+def inline(spark, rows, names):
+    return spark.createDataFrame(rows, ", ".join(f"{n.strip()} string" for n in names.split(",")))
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
@@ -93,7 +101,8 @@ def test_fuzzy_join(spark):
 
 
 def test_access_map_golden(spark):
-    out = catalog.QUERIES["access_records"](spark, "").collect()
+    edges, grants = inline(spark, ROLE_EDGES, "parent, child"), inline(spark, GRANTS, "role, database, schema, privilege")
+    out = access_map.nested_record(access_map.build_access_map(edges, grants, shape="children")).collect()
     records = sorted((json.loads(r.record) for r in out), key=lambda r: (r["master_role"], r["database"]))
     assert len(records) == 5
     first = records[0]
@@ -197,14 +206,14 @@ def test_yoy_and_pivot_edges(spark):
 
 
 def test_refresh_merges_versions(spark, tmp_path):
-    edges, grants = (catalog._inline(spark, rows, names) for rows, names in ((catalog._ROLE_EDGES, "parent, child"), (catalog._GRANTS, "role, database, schema, privilege")))
+    edges, grants = (inline(spark, rows, names) for rows, names in ((ROLE_EDGES, "parent, child"), (GRANTS, "role, database, schema, privilege")))
     path, status = access_map.refresh_access_map(edges, grants, str(tmp_path))
     assert spark.read.parquet(path).count() == 5 and status.startswith("access map: 5 rows built, 5 rows")
     fewer = grants.where("database <> 'DB3'")
     again, status = access_map.refresh_access_map(edges, fewer, str(tmp_path), spark.read.parquet(path))
     assert spark.read.parquet(again).count() == 5 and "3 rows built" in status
     assert spark.read.parquet(access_map.refresh_access_map(edges, fewer, str(tmp_path), spark.read.parquet(path), delete_missing=True)[0]).count() == 3
-    wh = catalog._inline(spark, catalog._WAREHOUSES, "role, warehouse, privilege")
+    wh = inline(spark, WAREHOUSES, "role, warehouse, privilege")
     assert "warehouse map: 2 rows built" in access_map.refresh_warehouse_map(edges, wh, str(tmp_path))[1]
 
 
