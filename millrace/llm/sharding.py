@@ -1,12 +1,13 @@
 """Shards of near equal bytes that keep linked documents together: balanced label propagation.
 
 Documents of one group (by default: equal texts) are linked through a node that stands for the group, so a group of n
-documents has n edges. Every document starts in the shard its doc_id hashes to. In each round a group counts its bytes by
-shard; of the shards that have room left it picks the one that holds most of them, and its documents in shards that hold less
-ask to go there. A shard admits what its quota has room for by ranges of a hash: groups whose askers all fit the room are
-admitted whole, by a hash of the group; a larger group's documents ask one by one, so that it fills a shard and then the next.
-Bytes only move to where a group has more of them, so the rounds come to a stop by themselves. Documents without a link, which
-no shard's edges depend on, then fill every shard up to its quota by ranges of a hash whose bounds come from nested histograms.
+documents has n edges. Every document has the label of the shard its doc_id hashes to. A group counts its bytes by label and
+asks to go where most of them are, among shards that have room; a shard admits groups up to its quota, by ranges of a hash of
+the group, whose bounds come from nested histograms; groups that were not admitted ask again, among the shards with room left,
+until all are placed. Groups of more than 1/``LARGE`` of a quota are dealt first, the largest first, as they could not be moved
+later: there are at most ``LARGE`` times the number of shards of them, so their counts are gathered and dealt in one step. One
+that fits no shard's room fills the shard with most room, then the next, by ranges of a hash of its documents. Documents without a
+link, which no shard's edges depend on, then fill every shard up to its quota by ranges of a hash.
 
 Law: ``bytes``. Sizes count the UTF-8 bytes of the text plus 1. :func:`edge_cut` counts the edges that end up cut.
 
@@ -26,54 +27,97 @@ from millrace.llm import text as tx
 from millrace.llm.thresholds import hash60, thresholds
 from millrace.plans.checkpoints import cut, release
 
-#: A shard with less room than this share of its quota takes nothing more.
-FULL = 0.01
-#: Rounds stop by themselves; more than this would be an error.
-MOST_ROUNDS = 100
+#: Groups of more than this part of a quota are dealt by themselves.
+LARGE = 64
+#: Groups that have not been admitted after so many rounds, when every room is nearly used up, go where they hold most.
+ROUNDS = 12
 #: Rows that one task numbers, about.
 NUMBERED = 100_000
 
 
-def _quota_limits(asks: DataFrame, room: DataFrame) -> DataFrame:
-    """(to, limit): asks (to, hash, size) below the limit fit the room (to, budget) of their shard."""
-    items = asks.select(F.col("to").alias("stream"), "hash", "size")
-    limits = thresholds(items, room.select(F.col("to").alias("stream"), "budget")).select(F.col("stream").alias("to"), "limit")
-    return room.join(limits, "to", "left").select("to", F.coalesce("limit", F.lit(1 << 60)).alias("limit"))
+def deal_large(groups: list[tuple[str, dict[int, int]]], capacity: float, shards: int) -> tuple[dict[str, list[tuple[int, float]]], list[float]]:
+    """Shards of large groups, each with the bytes it takes of them (the last one what is left), and every shard's room after
+    that. groups: (group, bytes by label)."""
+    room, dealt = [capacity] * shards, {}
+    for group, held in sorted(groups, key=lambda g: (-sum(g[1].values()), g[0])):
+        left = float(sum(held.values()))
+        fits = [s for s in range(shards) if room[s] >= left]
+        dealt[group] = []
+        while left > 0:
+            to = max(fits or range(shards), key=lambda s: (held.get(s, 0), room[s], -s) if fits else (room[s], held.get(s, 0), -s))
+            part = left if fits or room[to] <= 0 else min(left, room[to])
+            dealt[group].append((to, part))
+            room[to] -= part
+            left -= part
+    return dealt, room
+
+
+def _large(start: DataFrame, held: DataFrame, totals: DataFrame, capacity: float, shards: int) -> tuple[DataFrame, list[float]]:
+    """Documents of large groups with their shard, and the room left."""
+    large = totals.where(F.col("total") > capacity / LARGE).select("group")
+    counts: dict[str, dict[int, int]] = {}
+    for r in held.join(F.broadcast(large), "group").collect():  # at most LARGE * shards groups
+        counts.setdefault(r.group, {})[r.shard] = r.size
+    dealt, room = deal_large(list(counts.items()), capacity, shards)
+    rows = [(g, i, to, sum(p for _, p in parts[: i + 1])) for g, parts in dealt.items() for i, (to, _) in enumerate(parts)]
+    spark = start.sparkSession
+    whole = spark.createDataFrame([(r[0], r[2]) for r in rows if len(dealt[r[0]]) == 1], "group string, to int")
+    split = spark.createDataFrame([r for r in rows if len(dealt[r[0]]) > 1], "group string, nth int, to int, budget double")
+    items = start.join(F.broadcast(split.select("group").distinct()), "group").select(F.col("group").alias("stream"), hash60(F.col("doc_id")).alias("hash"), "size")
+    limits = thresholds(items, split.select(F.col("group").alias("stream"), "budget")).withColumnRenamed("stream", "group") if any(len(d) > 1 for d in dealt.values()) else split.select("group", "budget", F.lit(0).cast("long").alias("limit"))
+    bounds = split.join(F.broadcast(limits), ["group", "budget"], "left").groupBy("group").agg(F.array_sort(F.collect_list(F.struct("nth", F.coalesce("limit", F.lit(1 << 60)).alias("limit"), "to"))).alias("bounds"))
+    of_part = F.element_at(F.filter("bounds", lambda b: hash60(F.col("doc_id")) < b["limit"]), 1)["to"]
+    columns = start.drop("shard").columns
+    one = start.join(F.broadcast(whole), "group").select(*columns, F.col("to").alias("shard"))
+    more = start.join(F.broadcast(bounds), "group").select(*columns, of_part.alias("shard"))
+    return one.union(more), room
 
 
 def propagate(linked: DataFrame, capacity: float, shards: int) -> DataFrame:
     """linked: (doc_id, group, size, ...); with shard."""
-    now = cut(linked.withColumn("shard", (hash60(F.col("doc_id")) % shards).cast("int")))
-    every = now.sparkSession.range(shards).select(F.col("id").cast("int").alias("to"))
-    for _ in range(MOST_ROUNDS):
-        load = now.groupBy("shard").agg(F.sum("size").alias("load"))
-        room = every.join(load.withColumnRenamed("shard", "to"), "to", "left").select("to", F.greatest(F.lit(0.0), F.lit(capacity) - F.coalesce("load", F.lit(0))).alias("budget"))
-        room = cut(room.where(F.col("budget") > FULL * capacity))  # one row a shard
-        held = cut(now.groupBy("group", "shard").agg(F.sum("size").alias("size")).withColumn("tie", F.xxhash64("group", "shard")))
-        best = held.join(F.broadcast(room.withColumnRenamed("to", "shard")), "shard").groupBy("group").agg(F.max(F.struct("size", "tie", "shard", "budget")).alias("m"))
-        asks = held.join(best, "group").where(F.struct("size", "tie") < F.struct("m.size", "m.tie"))
-        asks = asks.select("group", "shard", F.col("m.shard").alias("to"), "size", F.col("m.budget").alias("budget"))
-        wants = asks.groupBy("group").agg(F.sum("size").alias("wanted"))
-        asks = cut(asks.join(wants, "group").withColumn("whole", F.col("wanted") <= F.col("budget")).drop("wanted", "budget"))
-        if asks.isEmpty():
+    start = cut(linked.withColumn("shard", (hash60(F.col("doc_id")) % shards).cast("int")))
+    held = cut(start.groupBy("group", "shard").agg(F.sum("size").alias("size")))
+    totals = cut(held.groupBy("group").agg(F.sum("size").alias("total"), F.map_from_entries(F.collect_list(F.struct("shard", "size"))).alias("held")))
+    placed, room = _large(start, held, totals, capacity, shards)
+    open_groups = cut(totals.where(F.col("total") <= capacity / LARGE))
+    found = []
+    for step in range(ROUNDS + 1):
+        if open_groups.isEmpty():
             break
-        # documents of large groups ask one by one; join on the few groups larger than a shard's room
-        single = now.join(asks.where("not whole").select("group", "shard", "to"), ["group", "shard"]).select("to", hash60(F.col("doc_id")).alias("hash"), "size")
-        items = asks.where("whole").select("to", hash60(F.col("group")).alias("hash"), "size").union(single)
-        limits = cut(_quota_limits(items, room))
-        told = asks.join(F.broadcast(limits), "to").where(~F.col("whole") | (hash60(F.col("group")) < F.col("limit"))).select("group", "shard", "to", "whole", "limit")
-        goes = F.col("to").isNotNull() & (F.col("whole") | (hash60(F.col("doc_id")) < F.col("limit")))
-        moved = now.join(told, ["group", "shard"], "left").select(*linked.columns, F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), goes.alias("moved"))
-        moved = cut(moved)
-        for done in (now, room, held, asks, limits):
-            release(done)
-        now = moved.drop("moved")
-        now._millrace_path = moved._millrace_path
-        if moved.where("moved").isEmpty():
+        last = step == ROUNDS or not any(r > 0 for r in room)
+        rooms = F.array(*(F.lit(s) for s in range(shards) if last or room[s] > 0))
+        choice = F.array_max(F.transform(rooms, lambda s: F.struct(F.coalesce(F.try_element_at("held", s), F.lit(0).cast("long")).alias("bytes"), F.xxhash64("group", s).alias("tie"), s.alias("to"))))["to"]
+        asks = cut(open_groups.withColumn("to", choice))
+        wanted = {r.to: r.n for r in asks.groupBy("to").agg(F.sum("total").alias("n")).collect()}  # one row a shard
+        tight = [s for s, n in wanted.items() if n > room[s] and not last]
+        going = asks
+        if tight:
+            budgets = start.sparkSession.createDataFrame([(s, max(room[s], 0.0)) for s in tight], "stream int, budget double")
+            items = asks.where(F.col("to").isin(tight)).select(F.col("to").alias("stream"), hash60(F.col("group")).alias("hash"), F.col("total").alias("size"))
+            limits = {r.stream: r.limit for r in thresholds(items, budgets, levels=2).collect()}  # one row a shard
+            limit = F.create_map(*(F.lit(x) for s in tight for x in (s, limits.get(s, 1 << 60))))
+            goes = F.coalesce(hash60(F.col("group")) < F.try_element_at(limit, F.col("to")), F.lit(True))
+            going = asks.where(goes)
+            rest = cut(asks.where(~goes).drop("to"))
+        going = cut(going.select("group", "to", "total"))
+        for r in going.groupBy("to").agg(F.sum("total").alias("n")).collect():
+            room[r.to] -= r.n
+        for s in tight:  # what a shard did not admit would not fit there later either
+            room[s] = min(room[s], 0.0)
+        found.append(going.select("group", "to"))
+        release(open_groups)
+        release(asks)
+        if not tight:
             break
-    else:
-        raise RuntimeError(f"no stop within {MOST_ROUNDS} rounds")
-    return now
+        open_groups = rest
+    where = found[0] if found else totals.where("false").select("group", F.lit(0).alias("to"))
+    for more in found[1:]:
+        where = where.union(more)
+    small_ones = start.join(where, "group").select(*linked.columns, F.col("to").alias("shard"))
+    out = cut(placed.select(*linked.columns, "shard").union(small_ones))
+    for done in (start, held, totals):
+        release(done)
+    return out
 
 
 def edge_cut(assigned: DataFrame) -> DataFrame:

@@ -20,14 +20,16 @@ def hash60(column):
     return F.conv(F.substring(F.md5(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
+def thresholds(items: DataFrame, budgets: DataFrame, levels: int = BITS // STEP) -> DataFrame:
     """(stream, budget, limit): items with ``hash < limit`` come nearest to the budget (a tie leaves the item out).
 
+    With fewer ``levels`` the limit is as near as buckets of the last level allow, each of which goes or stays as a whole.
+
     items: (stream, hash, size), stream not null; budgets: (stream, budget double), distinct. A budget that is at least as
     large as its stream has no row.
     """
     state = None
-    for level in range(BITS // STEP):
+    for level in range(levels):
         shift = BITS - STEP * (level + 1)
         bucket = F.shiftright("hash", shift).bitwiseAND((1 << STEP) - 1)
         if state is None:
@@ -47,4 +49,4 @@ def thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:
             "stream", "budget", (F.col("prefix") * (1 << STEP) + F.col("m.bucket")).alias("prefix"),
             (F.col("below") + F.col("m.upto") - F.col("m.n")).alias("below"), F.col("m.n").alias("n")))
     nearer = F.col("below") + F.col("n") - F.col("budget") < F.col("budget") - F.col("below")
-    return state.select("stream", "budget", (F.col("prefix") + F.when(nearer, 1).otherwise(0)).alias("limit"))
+    return state.select("stream", "budget", ((F.col("prefix") + F.when(nearer, 1).otherwise(0)) * (1 << (BITS - STEP * levels))).alias("limit"))
