@@ -113,7 +113,8 @@ def propagate(linked: DataFrame, capacity: float, shards: int) -> DataFrame:
     where = found[0] if found else totals.where("false").select("group", F.lit(0).alias("to"))
     for more in found[1:]:
         where = where.union(more)
-    small_ones = start.join(where, "group").select(*linked.columns, F.col("to").alias("shard"))
+    few = totals.where(F.col("total") > capacity / LARGE).select("group")  # their documents are placed; not to meet by their group
+    small_ones = start.join(F.broadcast(few), "group", "left_anti").join(where, "group").select(*linked.columns, F.col("to").alias("shard"))
     out = cut(placed.select(*linked.columns, "shard").union(small_ones))
     for done in (start, held, totals):
         release(done)
