@@ -1,11 +1,12 @@
 """Writing into tables: create, insert, reload, and versions that readers switch to.
 
 Catalog tables take CREATE OR REPLACE, INSERT ... SELECT and TRUNCATE with reload. A :class:`Versioned` table is a folder of
-versions and a pointer: every change writes a new version and then moves the pointer, so a change may read what it replaces.
+data and of numbered lists of it: every change writes its data and then the next list, so a change may read what it replaces.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,32 +39,45 @@ class Versioned:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _current(self) -> str | None:
-        pointer = self._path(f"{self.root}/current")
-        if not self._fs.exists(pointer):
-            return None
-        return self.spark.read.text(f"{self.root}/current").first()[0]
+    def _numbers(self) -> list[str]:
+        folder = self._path(f"{self.root}/versions")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(folder))
+
+    def _files(self) -> list[str]:
+        """The folders that make up the table: those that the version of the highest number lists."""
+        numbers = self._numbers()
+        return [r.value for r in self.spark.read.text(f"{self.root}/versions/{numbers[-1]}").collect()] if numbers else []
+
+    def _switch(self, files: list[str]) -> None:
+        """List ``files`` as the next version. The list is written aside and renamed, so readers see all of it or the one before,
+        and no list is ever taken away; of two writers of one number the second fails."""
+        numbers = self._numbers()
+        fresh, version = f"{self.root}/list-{uuid.uuid4().hex}", f"{self.root}/versions/{int(numbers[-1]) + 1 if numbers else 0:012d}"
+        self.spark.createDataFrame([(f,) for f in files], "value string").coalesce(1).write.text(fresh)
+        self._fs.mkdirs(self._path(f"{self.root}/versions"))
+        if self._fs.exists(self._path(version)) or not self._fs.rename(self._path(fresh), self._path(version)):
+            raise OSError(f"cannot switch {self.root} to {version}")
 
     def exists(self) -> bool:
-        return self._current() is not None
+        return bool(self._numbers())
 
     def read(self) -> DataFrame:
-        version = self._current()
-        if version is None:
+        if not self.exists():
             raise FileNotFoundError(f"{self.root} has no version yet")
-        return self.spark.read.parquet(version)
+        return self.spark.read.option("mergeSchema", "true").parquet(*self._files())
 
     def replace(self, df: DataFrame) -> None:
         """Write a version and point readers to it; a reader that has begun still has the old one."""
-        version = upsert.write_version(df, self.root)
-        fresh, pointer = f"{self.root}/next", self._path(f"{self.root}/current")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
-        self._fs.delete(pointer, True)
-        if not self._fs.rename(self._path(fresh), pointer):
-            raise OSError(f"cannot switch {self.root} to {version}")
+        self._switch([upsert.write_version(df, self.root)])
 
     def insert(self, df: DataFrame) -> None:
-        self.replace(self.read().unionByName(df, allowMissingColumns=True) if self.exists() else df)
+        """Add rows: only these are written, and the next version lists them beside what there is. Columns that either side lacks
+        are null."""
+        files = self._files()
+        rows = self.read().limit(0).unionByName(df, allowMissingColumns=True) if files else df
+        self._switch([*files, upsert.write_version(rows, self.root)])
 
     def truncate(self) -> None:
         self.replace(self.read().limit(0))

@@ -559,6 +559,16 @@ def audit_rows(spark, d):
     return out.withColumn("role_tree", F.array_join("role_tree", ">")).withColumn("permissions", F.array_join("permissions", ","))
 
 
+@query("audit_block", f"""{_ROLES.replace("upper(parent) LIKE 'NATION_1%'", "upper(parent) LIKE 'A%'")}, {_GRANTED} SELECT root AS master_role, array_to_string(path, '>') AS role_tree, depth AS level, database, coalesce(schema, '*') AS schema,
+    coalesce(array_to_string(list_sort(list(DISTINCT privilege) FILTER (privilege IS NOT NULL)), ','), '') AS permissions FROM w LEFT JOIN g ON g.role = w.node GROUP BY ALL""")
+def audit_block(spark, d):
+    """The audit of the regions that begin with A, by a cursor block."""
+    edges = _roles(spark, d)
+    roles = edges.select(F.col("parent").alias("role")).union(edges.select("child"))
+    out = access_map.audit_block(edges, roles, _place_grants(spark, d), "a")
+    return out.withColumn("role_tree", F.array_join("role_tree", ">")).withColumn("permissions", F.array_join("permissions", ","))
+
+
 @query("warehouse_map", f"""{_ROLES}, {_HOUSES}, j AS (SELECT DISTINCT root, warehouse, depth, node, privilege, array_to_string(path, ' -> ') AS p FROM w JOIN wh ON wh.role = w.node)
   SELECT root AS master_role, array_to_string(list_sort(list(DISTINCT warehouse)), ',') AS warehouses,
     array_to_string(list_transform(list_sort(list({{'w': warehouse, 'd': depth, 'n': node, 'x': privilege, 'p': p}})), lambda s: s.w || ':' || s.p || ':' || s.x), ';') AS paths FROM j GROUP BY root""")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import semi
-from millrace.operators import graph, tables, upsert
+from millrace.operators import access_map, graph, tables, upsert
 from millrace.session import warehouse
 from millrace.sources import extract, json_sink
 
@@ -105,3 +105,27 @@ def test_paths_beyond_the_row_limit_of_a_recursive_query(spark):
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == limit
     wide = spark.range(300).select(F.lit("r").alias("parent"), F.concat(F.lit("c"), "id").alias("child"))
     assert graph.simple_paths(wide, graph.top_roots(wide)).count() == 301
+
+
+def test_inserts_add_files_and_a_lost_race_fails(spark, tmp_path):
+    t = tables.Versioned(spark, str(tmp_path / "t"))
+    t.replace(spark.createDataFrame([(1, "a")], "k int, v string"))
+    before, reader = t._files(), t.read()
+    t.insert(spark.createDataFrame([(2,)], "k int"))
+    t.insert(spark.createDataFrame([(3, 0.5)], "k int, extra double"))
+    assert t._files()[: len(before)] == before and len(t._files()) == 3  # nothing was written again
+    assert sorted(map(tuple, t.read().select("k", "v", "extra").collect()), key=str) == [(1, "a", None), (2, None, None), (3, None, 0.5)]
+    assert [tuple(r) for r in reader.collect()] == [(1, "a")]
+    late = tables.Versioned(spark, str(tmp_path / "t"))
+    late._numbers = lambda: ["000000000001"]  # saw the table before the last insert
+    with pytest.raises(OSError):
+        late.replace(spark.createDataFrame([(9, "z")], "k int, v string"))
+    assert t.read().count() == 3
+
+
+def test_cursor_block_gives_the_rows_of_the_set_based_form(spark):
+    edges = spark.createDataFrame([("m1", "b"), ("M2", "b"), ("b", "c"), ("c", "b"), ("m1", "o'x"), (None, "y"), ("z", None)], "parent string, child string")
+    roles = spark.createDataFrame([("m1",), ("M2",), ("m3",), ("b",), (None,)], "role string")
+    grants = spark.createDataFrame([("c", "D", "S", "USAGE"), ("c", "D", "S", "SELECT"), ("b", "D", None, "USAGE"), ("o'x", "E", "T", None)], "role string, database string, schema string, privilege string")
+    rows = [sorted(map(str, f(edges, roles, grants, "m").collect())) for f in (access_map.audit_block, access_map.audit_rows)]
+    assert rows[0] == rows[1] and len(rows[0]) == 8
