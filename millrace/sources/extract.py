@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from email.message import EmailMessage
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.checkpoints import cut
@@ -179,17 +179,59 @@ def aws_secret(name: str, region: str | None) -> dict:
         raise SecretsError(f"secret {name} cannot be read: {type(e).__name__}") from e
 
 
-def jdbc_reader(spark: SparkSession, config: Config, secrets: Callable[[str, str | None], dict] = aws_secret) -> DataFrame:
-    """The configured query over JDBC; ``fetch.partition_column`` with bounds reads it in parallel."""
+#: Slices of the key's range that are counted for each partition of a read.
+SLICES = 16
+
+
+def plan_ranges(reader: DataFrameReader, sql: str, column: str, parts: int) -> list[str]:
+    """Predicates that deal the rows of a query over about ``parts`` partitions by a whole-number column.
+
+    The database counts the rows of ``SLICES`` equal slices of the key's range for each partition, and again within a slice that
+    holds more than a partition's share; neighbouring slices are put together until a partition has its share. Only the rows of
+    one key cannot be dealt out. Null keys are a partition of their own, if there are any.
+    """
+    ask = lambda q: reader.option("query", q).load()
+    low, high, n, known = ask(f"SELECT MIN({column}) AS A, MAX({column}) AS B, COUNT(*) AS N, COUNT({column}) AS K FROM ({sql}) q").first()
+    nulls = [f"{column} IS NULL"] if n > known else []
+    if not known:
+        return nulls or ["1 = 0"]
+    share, todo, slices = int(known) / parts, [(int(low), int(high))], []
+    while todo:
+        low, high = todo.pop()
+        width = max(1, -(-(high - low + 1) // (SLICES * parts)))
+        counts = ask(f"SELECT S, COUNT(*) AS N FROM (SELECT FLOOR(({column} - ({low})) / {width}.0) AS S FROM ({sql}) q WHERE {column} BETWEEN {low} AND {high}) p GROUP BY S").collect()  # SLICES * parts rows
+        for start, rows in ((low + int(r[0]) * width, int(r[1])) for r in counts):
+            if rows > share and width > 1:
+                todo.append((start, min(high, start + width - 1)))
+            else:
+                slices.append((start, rows))
+    bounds, held = [], 0
+    for start, rows in sorted(slices):
+        if held and held + rows / 2 > share:
+            bounds.append(start)
+            held = 0
+        held += rows
+    edges = [None, *bounds, None]
+    return nulls + [" AND ".join(([f"{column} >= {a}"] if a is not None else []) + ([f"{column} < {b}"] if b is not None else []) or [f"{column} IS NOT NULL"]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def jdbc_reader(spark: SparkSession, config: Config, secrets: Callable[[str, str | None], dict] = aws_secret, url: str | None = None) -> DataFrame:
+    """The configured query over JDBC. ``fetch.partition_column`` reads it in ``num_partitions`` partitions: with the bounds that
+    are given, or by ranges that follow the column's distribution (:func:`plan_ranges`)."""
     login = config.oracle
     if str(login.get("auth_method", "plain")).lower() == "aws_secret":
         login = secrets(login["secret_name"], login.get("aws_region"))
-    reader = spark.read.format("jdbc").option("url", f"jdbc:oracle:thin:@{config.oracle['dsn']}").option("user", login["user"]).option("password", login["password"])
-    reader = reader.option("fetchsize", config.fetch.get("array_size", 5000))
-    if column := config.fetch.get("partition_column"):
+    url = url or f"jdbc:oracle:thin:@{config.oracle['dsn']}"
+    options = {"user": login["user"], "password": login["password"], "fetchsize": str(config.fetch.get("array_size", 5000))}
+    reader = lambda: spark.read.format("jdbc").option("url", url).options(**options)
+    column = config.fetch.get("partition_column")
+    if not column:
+        return reader().option("query", config.sql).load()
+    if "lower_bound" in config.fetch:
         bounds = {k: config.fetch[v] for k, v in (("lowerBound", "lower_bound"), ("upperBound", "upper_bound"), ("numPartitions", "num_partitions"))}
-        return reader.options(dbtable=f"({config.sql}) q", partitionColumn=column, **bounds).load()
-    return reader.option("query", config.sql).load()
+        return reader().options(dbtable=f"({config.sql}) q", partitionColumn=column, **bounds).load()
+    predicates = plan_ranges(reader(), config.sql, column, int(config.fetch.get("num_partitions", 8)))
+    return spark.read.jdbc(url, f"({config.sql}) q", predicates=predicates, properties=options)
 
 
 def write_csv_files(df: DataFrame, local_dir: str, base: str, records_per_file: int, delimiter: str = ",", include_header: bool = True, quote_all: bool = False, order: tuple[str, ...] = ()) -> list[str]:
