@@ -16,6 +16,7 @@ from millrace.operators import access_map, fuzzy, graph, intervals, outliers, qu
 from millrace.plans.checkpoints import shared_dir
 from millrace.plans.fixpoint import strong_components
 from millrace.session import table, warehouse
+from millrace.sources import extract
 from millrace.streaming import events as event_streams
 from millrace.streaming import lru
 
@@ -531,6 +532,17 @@ def insert_reload(spark, d):
     return kept.read()
 
 
+@query("csv_chunks", """SELECT CAST(1 + (n // 1000) AS BIGINT) AS file_no, count(*) AS n_rows, CAST(min(o_orderkey) AS BIGINT) AS first_key, CAST(max(o_orderkey) AS BIGINT) AS last_key, CAST(sum(o_custkey) AS BIGINT) AS customers
+FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders) GROUP BY 1""")
+def csv_chunks(spark, d):
+    """All orders in CSV files of a thousand rows, read back by the names in their manifest."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    written = extract.write_csv_files(rows, f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}", "orders", 1000, order=("o_orderkey",))
+    back = spark.read.schema("o_orderkey long, o_custkey long").option("header", True).csv([f["path"] for f in written])
+    file_no = F.regexp_extract(F.input_file_name(), r"_(\d+)\.csv$", 1).cast("long")
+    return back.groupBy(file_no.alias("file_no")).agg(F.count("*").alias("n_rows"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"), F.sum("o_custkey").alias("customers"))
+
+
 @query("warehouse_source", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
 def warehouse_source(spark, d):
     view = f"nation_{uuid.uuid4().hex}"

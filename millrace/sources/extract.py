@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.plans.checkpoints import cut
+from millrace.sources.csv_files import remove_files, write_chunks
 
 # Exit codes by kind of failure.
 EXIT_CODES = {"ok": 0, "generic": 1, "config": 2, "secrets": 3, "connect": 4, "query": 5, "csv": 6, "upload": 7, "unexpected": 99, "interrupt": 130}
@@ -234,36 +235,19 @@ def jdbc_reader(spark: SparkSession, config: Config, secrets: Callable[[str, str
     return spark.read.jdbc(url, f"({config.sql}) q", predicates=predicates, properties=options)
 
 
-def write_csv_files(df: DataFrame, local_dir: str, base: str, records_per_file: int, delimiter: str = ",", include_header: bool = True, quote_all: bool = False, order: tuple[str, ...] = ()) -> list[str]:
-    """Files ``<base>_1.csv``, ``<base>_2.csv``, ... of ``records_per_file`` rows each (the last may have fewer).
+def write_csv_files(df: DataFrame, local_dir: str, base: str, records_per_file: int, delimiter: str = ",", include_header: bool = True, quote_all: bool = False, order: tuple[str, ...] = ()) -> list[dict]:
+    """Files ``<base>_1.csv``, ``<base>_2.csv``, ... of ``records_per_file`` rows each (the last may have fewer), as the entries
+    (chunk, path, rows, bytes) of their manifest.
 
-    Rows are numbered across partitions, files are written by tasks side by side, and the driver renames them at the end.
-    Without rows no file is written.
+    Rows are numbered across partitions; tasks write whole files side by side, under their names (:mod:`csv_files`). Without
+    rows no file is written.
     """
-    spark = df.sparkSession
-    keys = order or tuple(df.columns)
     line = csv_line(df, delimiter, quote_all)
-    numbered = number_rows(df, keys).withColumn("_chunk", F.floor(F.col("_n") / records_per_file))
-    staged = f"{local_dir.rstrip('/')}/.{base}-{time.time_ns()}"
-    rows = numbered.select("_chunk", "_n", line.alias("_line")).repartition("_chunk").sortWithinPartitions("_chunk", "_n")
-    if include_header:
-        head = delimiter.join(_quoted(c, delimiter, quote_all) for c in df.columns)
-        first = F.col("_n") % records_per_file == 0
-        rows = rows.withColumn("_line", F.explode(F.when(first, F.array(F.lit(head), F.col("_line"))).otherwise(F.array("_line"))))
-    rows.select("_chunk", "_line").write.option("lineSep", "\r\n").partitionBy("_chunk").text(staged)
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(staged)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files = []
-    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/_chunk=*/part-*")) or []:
-        n = int(status.getPath().getParent().getName().partition("=")[2])
-        target = jvm.org.apache.hadoop.fs.Path(f"{local_dir.rstrip('/')}/{base}_{n + 1}.csv")
-        fs.delete(target, False)
-        if not fs.rename(status.getPath(), target):
-            raise CsvError(f"cannot move {status.getPath()} to {target}")
-        files.append((n, target.toUri().getPath()))
-    fs.delete(root, True)
-    return [f for _, f in sorted(files)]
+    numbered = number_rows(df, order or tuple(df.columns))
+    rows = numbered.select(F.floor(F.col("_n") / records_per_file).alias("_chunk"), "_n", line.alias("_line"))
+    rows = rows.repartition("_chunk").sortWithinPartitions("_chunk", "_n").select("_chunk", "_line")
+    head = delimiter.join(_quoted(c, delimiter, quote_all) for c in df.columns) if include_header else None
+    return write_chunks(rows, local_dir, base, head)
 
 
 def _quoted(text: str, delimiter: str, always: bool) -> str:
@@ -359,16 +343,16 @@ class Extract:
     def run(self) -> list[str]:
         c = self.config
         df = self._timed("query", QueryError, self.read, self.spark, c)
-        files = self._timed("write", CsvError, lambda: write_csv_files(df, c.output["local_dir"], c.output["base_filename"], c.records_per_file, **c.csv))
-        self.metrics["files"], self.metrics["bytes"] = len(files), sum(Path(f).stat().st_size for f in files if Path(f).exists())
-        self.log.info("%s files, %s, %s written", len(files), human_bytes(self.metrics["bytes"]), rate(self.metrics["bytes"], self.metrics["write_seconds"]))
+        written = self._timed("write", CsvError, lambda: write_csv_files(df, c.output["local_dir"], c.output["base_filename"], c.records_per_file, **c.csv))
+        files = [f["path"] for f in written]
+        self.metrics |= {"files": len(files), "rows": sum(f["rows"] for f in written), "bytes": sum(f["bytes"] for f in written)}
+        self.log.info("%s rows in %s files, %s, %s written", self.metrics["rows"], len(files), human_bytes(self.metrics["bytes"]), rate(self.metrics["rows"], self.metrics["write_seconds"]))
         if not files:
             self.log.warning("the query gave no rows; no file was written")
             return []
         sent = self._timed("upload", UploadError, self.upload, self.spark, files, self.target, c.s3.get("kms_key_id"))
         if c.cleanup_local:
-            for f in files:
-                Path(f).unlink(missing_ok=True)
+            remove_files(files)
         self.log.info("%s files in %.1f s", len(sent), sum(v for k, v in self.metrics.items() if k.endswith("_seconds")))
         return sent
 

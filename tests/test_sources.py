@@ -3,7 +3,7 @@ import logging
 
 import pytest
 
-from millrace.sources import extract, json_sink, synthetic
+from millrace.sources import csv_files, extract, json_sink, synthetic
 
 GOOD = {"oracle": {"dsn": "h:1521/X", "user": "u", "password": "p"}, "sql": "select 1", "output": {"local_dir": "", "base_filename": "part", "records_per_file": 10}, "s3": {"bucket": "b"}}
 
@@ -42,7 +42,10 @@ def test_chunked_csv_upload_and_exit_codes(spark, tmp_path):
     local, remote = tmp_path / "local", tmp_path / "remote"
     local.mkdir(), remote.mkdir()
     rows = spark.createDataFrame([(i, f'say "{i}",\n', None if i % 2 else "") for i in range(25)], "id int, a string, b string").repartition(4)
-    files = extract.write_csv_files(rows, str(local), "part", 10, order=("id",))
+    written = extract.write_csv_files(rows, str(local), "part", 10, order=("id",))
+    files = [f["path"] for f in written]
+    assert [(f["chunk"], f["rows"], f["bytes"]) for f in written] == [(i, n, (local / f"part_{i + 1}.csv").stat().st_size) for i, n in enumerate((10, 10, 5))]
+    assert sorted(p.name for p in local.iterdir()) == ["_part.manifest", "part_1.csv", "part_2.csv", "part_3.csv"]
     assert [f.rsplit("/", 1)[1] for f in files] == ["part_1.csv", "part_2.csv", "part_3.csv"]
     read = [list(csv.reader(open(f, newline="", encoding="utf-8"))) for f in files]
     assert [len(x) - 1 for x in read] == [10, 10, 5] and [int(r[0]) for x in read for r in x[1:]] == list(range(25))
@@ -64,6 +67,27 @@ def test_chunked_csv_upload_and_exit_codes(spark, tmp_path):
     assert extract.main([str(path)], spark=spark) == 3
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_csv_files_over_any_partitioning(spark, tmp_path, parts):
+    rows = [(i, None if i % 5 == 0 else f"a,{i}" if i % 3 else 'q"\r\n"') for i in range(101)]
+    df = spark.createDataFrame(rows, "id int, a string").repartition(parts)
+    written = extract.write_csv_files(df, f"file:{tmp_path}/new/folder", "t", 4, delimiter=";", include_header=False, order=("id",))
+    read = [[(int(i), a) for i, a in csv.reader((tmp_path / "new/folder" / f"t_{n + 1}.csv").open(newline="", encoding="utf-8"), delimiter=";")] for n in range(26)]
+    assert [len(r) for r in read] == [4] * 25 + [1] == [f["rows"] for f in written]
+    assert [r for part in read for r in part] == [(i, a or "") for i, a in rows]
+    assert extract.write_csv_files(df.limit(0), str(tmp_path), "none", 4) == [] and [p.name for p in tmp_path.glob("*none*")] == ["_none.manifest"]
+
+
+def test_a_write_without_all_chunks_leaves_nothing(spark, tmp_path):
+    split = spark.createDataFrame([(0, "a"), (0, "b")], "chunk long, line string").repartition(2)
+    missing = spark.createDataFrame([(1, "a")], "chunk long, line string")
+    twice = spark.createDataFrame([(0, "a"), (1, "b"), (0, "c")], "chunk long, line string").coalesce(1)
+    for rows in (split, missing, twice):
+        with pytest.raises(Exception, match="missing, or are split"):
+            csv_files.write_chunks(rows, str(tmp_path), "x", None)
+        assert not list(tmp_path.iterdir())
+
+
 def test_json_sinks_and_logger(spark, tmp_path):
     import json
 
