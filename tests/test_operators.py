@@ -128,6 +128,22 @@ def test_catalog_grants(spark):
     assert [tuple(r) for r in access_map.user_warehouses(users, roles, wh).collect()] == [("U1", "ROLE1", "WH", "USAGE")]
 
 
+def test_user_warehouses_by_holders(spark):
+    """Grants given by holders and roles: the pairs are made last, by all tasks, and are those of the table of grants."""
+    users = spark.createDataFrame([("U1", None), ("U2", "x"), ("U3", None), ("U3", None), (None, None)], "NAME string, DELETED_ON string")
+    holders = spark.createDataFrame([("U1", 0), ("U2", 0), ("U3", 1), ("U4", 1), (None, 1)], "GRANTEE_NAME string, a int")
+    roles = spark.createDataFrame([("R1", 0), ("R2", 1), ("R3", 1), (None, 1)], "ROLE string, b int")
+    wh = spark.createDataFrame([("R1", "W", "USAGE"), ("R2", "W", "USAGE"), ("R2", "V", "MONITOR")], "role string, warehouse string, privilege string")
+    granted = F.col("a") == F.col("b")
+    grants = holders.join(roles, granted).select("GRANTEE_NAME", "ROLE", F.lit(None).alias("DELETED_ON"))
+    got = access_map.user_warehouses(users, (holders, roles, granted), wh)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, access_map.user_warehouses(users, grants, wh).collect())) and len(rows) == 5
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    first = next(line for line in plan.splitlines() if "Join" in line)
+    assert "a#" in first and "b#" in first and got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_cycles_in_role_graph_end(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("x", "y"), ("y", "x")], "parent string, child string")
     paths = {tuple(r.path) for r in graph.simple_paths(edges, graph.top_roots(edges)).collect()}
