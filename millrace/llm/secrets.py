@@ -12,10 +12,13 @@ logistic fit on findings it did not learn from, and every shape of value (digits
 a threshold at which ``RECALL`` of those labelled true are still found, with the fewest false ones. Candidates at or above it that no base
 finding touches become findings of kind ``learned``; base findings always stay.
 
-Labelled findings: candidates of the corpus, true if a base pattern holds them, else false unless a first net doubts that, the ``SAMPLE`` least by hash of what the net reads
-of either kind (distinct readings, so copies count once; readings of up to ``READ`` bytes); and as many made ones, which show
-values outside the patterns: key-like values of published formats after other names, and addresses, numbers, dates, versions,
-paths and names as false ones. This bounded sample is all that reaches the driver; tasks keep no more than it either.
+Labelled findings: all distinct candidates of the corpus by what the net reads (copies count once; readings of up to ``READ``
+bytes), true if a base pattern holds them, else false unless a first net doubts that; and ``MADE`` made ones of either label,
+which show values outside the patterns: key-like values of published formats after other names, and addresses, numbers, dates,
+versions, paths and names as false ones. A net that has learned from the made ones goes on by ``ROUNDS`` steps; each adds up, in
+Spark tasks, the gradient over all findings that are not held out. Calibration and thresholds come from counts of all findings
+held out, by steps of 1/``FINE`` of the logit. The corpus weighs at most ``SHARE`` times as much as the made ones of a label,
+by a smaller weight for each of its findings. Only sums and counts reach the driver.
 
 Defined cases: null and empty texts have no findings; without candidates in the corpus the net learns from made findings alone;
 equal texts get equal findings; rows are judged one by one, so null and repeated doc_id need no care; findings never cross
@@ -36,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import text as tx
+from millrace.plans.checkpoints import cut, release
 
 KINDS = ("assign", "access", "hex", "learned")
 # The patterns of the base findings; assign is matched in lower-cased text.
@@ -43,10 +47,12 @@ ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 VALUE, ACCESS_ID, HEX_DIGITS = 8, 16, 32
 
-LEFT, RIGHT, SHORTEST, READ = 24, 8, 8, 256
-SAMPLE, RECALL = 3000, 0.97
+LEFT, RIGHT, SHORTEST, READ = 24, 8, 8, 1 << 16
+MADE, SHARE, RECALL = 1500, 2, 0.97
 FILTERS, WIDTH, HIDDEN = 16, 5, 16
 STEPS, BATCH, RATE = 300, 128, 0.01
+#: Steps over all findings, and parts of a unit by which their logits (from -LIMIT to LIMIT) are counted.
+ROUNDS, FINE, LIMIT = 12, 64, 32
 #: Rows of the convolution that are held at once.
 ROWS = 1 << 16
 
@@ -178,12 +184,12 @@ class Net:
         data, low, high, starts, ends = _laid(findings)
         return self.score(self.logits(data, starts, ends, low, high)) >= np.array(self.thresholds)[shape(data, starts, ends)]
 
-    def gradient(self, symbols: np.ndarray, n: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross-entropy, by weight."""
+    def gradient(self, symbols: np.ndarray, n: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy, or of its sum by ``weight``, for each of the net's weights."""
         w, f = self.weights, self.pool(symbols, n)
         y, x, marks = f["y"], f["x"], f["marks"]
         h, logit = self.head(x)
-        dl = (_sigmoid(logit) - label) / len(label)
+        dl = (_sigmoid(logit) - label) * (1 / len(label) if weight is None else weight)
         dh = dl[:, None] * w["w"] * (1 - h**2)
         dx = dh @ w["W"].T
         around, inside, mean = dx[:, :FILTERS], dx[:, FILTERS : 2 * FILTERS], dx[:, 2 * FILTERS : 3 * FILTERS] / f["inner"][:, None]
@@ -283,78 +289,170 @@ def train(findings: list[tuple[bytes, int, int, int]], recall: float = RECALL) -
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g**2
             net.weights[k] = (w - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     logit = net.logits(data, starts[kept], ends[kept], low[kept], high[kept])
-    net.slope, net.shift = calibrate(logit, label[kept])
-    score, true, form = net.score(logit), label[kept] == 1, shape(data, starts[kept], ends[kept])
-    overall = threshold(score, true, recall)
-    net.thresholds = tuple(threshold(score[form == k], true[form == k], recall) if (true & (form == k)).sum() >= 20 else overall for k in range(4))
+    set_limits(net, logit, label[kept], shape(data, starts[kept], ends[kept]), recall)
     return net
 
 
-def threshold(score: np.ndarray, true: np.ndarray, recall: float) -> float:
+def set_limits(net: Net, logit: np.ndarray, label: np.ndarray, form: np.ndarray, recall: float, weight: np.ndarray | None = None) -> None:
+    """Calibration and thresholds by findings held out, each as often as its weight."""
+    weight = np.ones(len(logit)) if weight is None else weight
+    net.slope, net.shift = calibrate(logit, label, weight)
+    score, true = net.score(logit), label == 1
+    overall = threshold(score, true, recall, weight)
+    net.thresholds = tuple(threshold(score[form == k], true[form == k], recall, weight[form == k]) if weight[true & (form == k)].sum() >= 20 else overall for k in range(4))
+
+
+def threshold(score: np.ndarray, true: np.ndarray, recall: float, weight: np.ndarray | None = None) -> float:
     """The middle (in log-odds) of those thresholds that keep the recall with the fewest false findings: from the largest that
     keeps it down to the next false finding's score."""
     if not true.any():
         return 1.0
-    most = float(np.sort(score[true])[int((1 - recall) * true.sum())])
+    order = np.argsort(score[true])
+    upto = np.cumsum((np.ones(len(score)) if weight is None else weight)[true][order])
+    most = float(score[true][order][min(np.searchsorted(upto, np.floor((1 - recall) * upto[-1]), "right"), len(upto) - 1)])
     least = float(score[~true & (score < most)].max(initial=1e-6))
     middle = np.mean([np.log(x / (1 - x)) for x in np.clip((least, most), 1e-9, 1 - 1e-9)])
     return float(_sigmoid(middle))
 
 
-def calibrate(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+def calibrate(logit: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and shift of the logistic fit, by Newton steps with smoothed targets."""
-    p, n = label.sum(), len(label) - label.sum()
+    weight = np.ones(len(label)) if weight is None else weight
+    p, n = (weight * label).sum(), (weight * (1 - label)).sum()
     target = np.where(label == 1, (p + 1) / (p + 2), 1 / (n + 2))
     x, z = np.stack((logit / 4, np.ones(len(logit))), 1), np.array([4.0, 0.0])
     for _ in range(30):
         q = _sigmoid(x @ z)
-        hess = (x * (q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hess, x.T @ (q - target) + 1e-3 * (z - [4.0, 0.0]))
+        hess = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hess, x.T @ (weight * (q - target)) + 1e-3 * (z - [4.0, 0.0]))
         z = z - np.clip(step, -2, 2)
     return float(max(z[0], 0.04) / 4), float(z[1])
 
 
-def labelled(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[tuple[bytes, int, int, int]]:
-    """(reading, start, end, label) of up to ``sample`` candidates of either label, those of least hash; bottom-k of tasks first."""
+def readings(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, label, reading, start, end) of all distinct candidates, labelled by the base patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: tuple[dict, dict] = ({}, {})
         for batch in batches:
             for _, _, data, offsets in tx.chunks(batch.column(0)):
                 starts, ends = candidates(data)
                 short = ends - starts <= READ - LEFT - RIGHT
                 starts, ends = starts[short], ends[short]
+                if not len(starts):
+                    continue
                 _, b_starts, b_ends = base(data)
                 row = np.searchsorted(offsets, starts, "right") - 1
                 low, high = np.maximum(offsets[row], starts - LEFT), np.minimum(offsets[row + 1] - 1, ends + RIGHT)
-                h = tx.stretch_hashes(tx.prefix(data), low, high) if len(starts) else np.zeros(0, np.uint64)
-                label = held(starts, ends, b_starts, b_ends)
+                h = tx.stretch_hashes(tx.prefix(data), low, high) >> np.uint64(1)
                 raw = data.tobytes()
-                for y in (0, 1):
-                    at = np.flatnonzero(label == y)
-                    at = at[np.unique(h[at], return_index=True)[1][:sample]]
-                    for i in at.tolist():
-                        best[y].setdefault(int(h[i]), (raw[low[i] : high[i]], int(starts[i] - low[i]), int(ends[i] - low[i])))
-                    if len(best[y]) > 2 * sample:
-                        for x in sorted(best[y])[sample:]:
-                            del best[y][x]
-        rows = [(h >> 1, y, *best[y][h]) for y in (0, 1) for h in sorted(best[y])[:sample]]
-        for i in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1000], strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["h", "label", "reading", "start", "end"])
-
-    found = docs.select(text_col).mapInArrow(run, "h long, label int, reading binary, start int, end int").dropDuplicates(["label", "h"])
-    out = []
+                reading = pa.array([raw[a:z] for a, z in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+                label = pa.array(held(starts, ends, b_starts, b_ends).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), label, reading, *(pa.array((x - low).astype(np.int32)) for x in (starts, ends))], names=["h", "label", "reading", "start", "end"])
+
+    return docs.select(text_col).mapInArrow(run, "h long, label int, reading binary, start int, end int").dropDuplicates(["label", "h", "start", "end"])
+
+
+def labelled(docs: DataFrame, text_col: str = "text", sample: int = 3000) -> list[tuple[bytes, int, int, int]]:
+    """(reading, start, end, label) of the ``sample`` candidates of least hash of either label, to look at; no net learns from them."""
+    found, out = readings(docs, text_col), []
     for y in (0, 1):
         out += [(bytes(r.reading) + b"\n", r.start, r.end, y) for r in found.where(F.col("label") == y).orderBy("h", "start", "end").limit(sample).collect()]
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Net:
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Label, weight, and data, low, high, starts and ends of the findings of a batch, for about ``ROWS`` symbols at a time."""
+    columns = batch.to_pydict()
+    done = np.cumsum([len(x) + WIDTH for x in columns["reading"]])
+    part = done // ROWS
+    for k in np.unique(part):
+        i, j = np.searchsorted(part, k), np.searchsorted(part, k, "right")
+        laid = _laid([(r + b"\n", a, z, y) for r, a, z, y in zip(*(columns[c][i:j] for c in ("reading", "start", "end", "label")), strict=True)])
+        yield (np.array(columns["label"][i:j], np.float32), np.array(columns["weight"][i:j]), *laid)
+
+
+def _slopes(net: Net, learn: DataFrame) -> np.ndarray:
+    """The gradient over all findings, as one array; one sum a task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0.0
+        for batch in batches:
+            for label, weight, data, low, high, starts, ends in _runs(batch):
+                g = net.gradient(*read(data, starts, ends, low, high), label, weight)
+                total = total + np.concatenate([np.ravel(g[k]).astype(float) for k in net.weights])
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
+
+    return np.sum([np.frombuffer(r[0]) for r in learn.mapInArrow(run, "sum binary").collect()], 0)
+
+
+def _counts(net: Net, kept: DataFrame) -> np.ndarray:
+    """(label, shape, logit, weight) of all findings held out, counted by label, shape and step of the logit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, weight, data, low, high, starts, ends in _runs(batch):
+                step = np.rint(np.clip(net.logits(data, starts, ends, low, high), -LIMIT, LIMIT) * FINE).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(shape(data, starts, ends).astype(np.int32)), pa.array(step), pa.array(weight)], names=["label", "form", "step", "weight"])
+
+    counted = kept.mapInArrow(run, "label int, form int, step int, weight double").groupBy("label", "form", "step").agg(F.count("*").alias("n"), F.min("weight").alias("least"), F.count_if(F.col("weight") == 1).alias("ones"))
+    # two weights a label at most: 1 and that of the corpus
+    rows = [(r.label, r.form, r.step / FINE, r.ones + (r.n - r.ones) * r.least) for r in counted.orderBy("label", "form", "step").collect()]
+    return np.array(rows, float).reshape(-1, 4)
+
+
+def refine(net: Net, found: DataFrame, recall: float = RECALL) -> Net:
+    """A net that goes on from ``net`` by all of ``found`` (h, label, reading, start, end, weight); every fourth by hash is held out."""
+    learn, kept = found.where("h % 4 <> 0"), found.where("h % 4 = 0")
+    sums = {r.label: r.w for r in learn.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    even = learn.withColumn("weight", F.col("weight") * F.when(F.col("label") == 1, 0.5 / sums.get(1, 1)).otherwise(0.5 / sums.get(0, 1)))
+    out = Net(dict(net.weights))
+    m, v = 0.0, 0.0
+    for step in range(1, ROUNDS + 1):
+        flat = np.concatenate([np.ravel(w) for w in out.weights.values()]).astype(float)
+        g = _slopes(out, even) + 1e-4 * flat
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
+        flat -= RATE * (1 - step / (ROUNDS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        at = np.cumsum([0, *(w.size for w in out.weights.values())])
+        out.weights = {k: flat[a:z].reshape(w.shape).astype(np.float32) for (k, w), a, z in zip(out.weights.items(), at[:-1], at[1:], strict=True)}
+    label, form, logit, weight = _counts(out, kept).T
+    set_limits(out, logit, label, form, recall, weight)
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Net:
     """A net for a corpus. Candidates outside the patterns that a first net, which learned from sure findings alone, already
     takes for secrets are doubtful: they are no false findings to learn from."""
-    found, sure = labelled(docs, text_col, sample), made(sample // 2)
-    first = train(sure + [f for f in found if f[3] == 1])
-    return train(sure + [f for f, hit in zip(found, first.judge(found), strict=True) if f[3] == 1 or not hit])
+    sure = made(MADE)
+    net = train(sure)
+    held_all = cut(readings(docs, text_col))
+    n = {r.label: r.n for r in held_all.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not n:
+        release(held_all)
+        return net
+    data, low, high, _, _ = _laid(sure)
+    h = (tx.stretch_hashes(tx.prefix(data), low, high) >> np.uint64(1)).tolist()
+    rows = [(x, y, t[:-1], a, z, 1.0) for x, (t, a, z, y) in zip(h, sure, strict=True)]
+    shown = docs.sparkSession.createDataFrame(rows, "h long, label int, reading binary, start int, end int, weight double")
+    weight = F.when(F.col("label") == 1, min(1.0, SHARE * MADE / n.get(1, 1))).otherwise(min(1.0, SHARE * MADE / n.get(0, 1)))
+    found = held_all.withColumn("weight", weight)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-sum(n.values()) // 20_000))
+    laid = lambda df: cut(df.repartition(tasks).sortWithinPartitions("h", "label", "start", "end"))
+    certain = laid(found.where("label = 1").union(shown))
+    first = refine(net, certain)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doubtful = [np.zeros(0, bool)]
+            for _, _, data, low, high, starts, ends in _runs(batch):
+                doubtful.append(first.score(first.logits(data, starts, ends, low, high)) >= np.array(first.thresholds)[shape(data, starts, ends)])
+            yield batch.filter(pa.array(~np.concatenate(doubtful)))
+
+    whole = laid(found.where("label = 0").mapInArrow(sift, found.schema).union(certain))
+    out = refine(first, whole)
+    for df in (held_all, certain, whole):
+        release(df)
+    return out
 
 
 def scan(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:

@@ -157,3 +157,26 @@ def test_sample_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
     one = s.labelled(docs.coalesce(1), sample=40)
     assert one == s.labelled(docs.union(docs).repartition(7), sample=40) and len(one) > 40
+
+
+def test_all_findings_are_learned_from(spark, monkeypatch):
+    """The gradient, the counts and so the thresholds take in every distinct candidate, not those of least hash."""
+    docs = spark.range(9000).select(F.concat(F.lit("see item x7"), F.upper(F.sha1(F.col("id").cast("string"))), F.lit("zz and token=Q"), F.md5(F.col("id").cast("string"))).alias("text"))
+    seen, real = [], s.refine
+    monkeypatch.setattr(s, "ROUNDS", 1)
+    monkeypatch.setattr(s, "refine", lambda net, found: seen.append((found.groupBy("label").count().collect(), found.where("h % 4 = 0"))) or real(net, found))
+    net = s.fit(docs.union(docs))
+    first, whole = ({r.label: r["count"] for r in counts} for counts, _ in seen)
+    assert first == {0: s.MADE, 1: s.MADE + 9000} and whole[1] == s.MADE + 9000 and s.MADE < whole[0] <= s.MADE + 9000
+    assert len(net.thresholds) == 4
+
+
+def test_gradient_by_tasks(spark):
+    found = s.made(60)
+    data, low, high, starts, ends = s._laid(found)
+    label, weight = np.array([f[3] for f in found], np.float32), np.linspace(0.001, 0.02, len(found))
+    net = s.begin()
+    want = net.gradient(*s.read(data, starts, ends, low, high), label, weight)
+    rows = [(t[:-1], a, z, y, float(w)) for (t, a, z, y), w in zip(found, weight, strict=True)]
+    frame = spark.createDataFrame(rows, "reading binary, start int, end int, label int, weight double").repartition(5)
+    assert np.allclose(s._slopes(net, frame), np.concatenate([np.ravel(want[k]) for k in net.weights]), atol=1e-5)
