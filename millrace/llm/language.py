@@ -36,6 +36,8 @@ ACCEPTED = 0.999
 ENOUGH = 200
 #: Standard deviations that chance may add to a text's mean cost.
 CHANCE = 3
+#: Bytes of text that a task has at hand at once; the arrays made of them in `gram_counts` take 80 times that.
+CHUNK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -161,9 +163,23 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "la
         names: dict[str, int] = {}
         seen = Table(np.zeros(0, np.uint64))
         keys, totals, grams, langs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+        waiting: list[tuple[np.ndarray, ...]] = []  # new n-grams of the last chunks: the table is not sorted again for each
+
+        def take_in() -> None:
+            nonlocal seen, keys, totals, grams, langs
+            if waiting:
+                more, n, points, lang = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                new, index, inverse = np.unique(more, return_index=True, return_inverse=True)
+                sums = np.zeros(len(new), np.int64)
+                np.add.at(sums, inverse, n)
+                keys, totals = np.concatenate((keys, new)), np.concatenate((totals, sums))
+                grams, langs = np.concatenate((grams, points[index])), np.concatenate((langs, lang[index]))
+                seen = Table(keys)
+                waiting.clear()
+
         for batch in batches:
             codes = np.array([names.setdefault(x, len(names)) for x in batch.column(1).to_pylist()], np.int64)
-            for first, end, data, offsets in tx.chunks(batch.column(0)):
+            for first, end, data, offsets in tx.chunks(batch.column(0), CHUNK):
                 points, bounds, n_letters = letters(table.value, data, offsets)
                 if len(points) < ORDER:
                     continue
@@ -182,12 +198,12 @@ def gram_counts(labelled: DataFrame, text_col: str = "text", lang_col: str = "la
                 if len(totals):
                     totals += np.bincount(seen.order[found[hit]], minlength=len(totals))
                 if not hit.all():
-                    new, index, n = np.unique(key[~hit], return_index=True, return_counts=True)
+                    fresh, index, n = np.unique(key[~hit], return_index=True, return_counts=True)
                     at = place[~hit][index]
-                    keys, totals = np.concatenate((keys, new)), np.concatenate((totals, n))
-                    grams = np.concatenate((grams, np.stack([points[at + k] for k in range(ORDER)], 1)))
-                    langs = np.concatenate((langs, lang[~hit][index]))
-                    seen = Table(keys)
+                    waiting.append((fresh, n, np.stack([points[at + k] for k in range(ORDER)], 1), lang[~hit][index]))
+                    if sum(len(w[0]) for w in waiting) > max(1 << 16, len(keys) // 2):
+                        take_in()
+        take_in()
         if len(keys):
             by = list(names)
             text = grams.astype("<u4").reshape(-1).view(f"<U{ORDER}")
@@ -286,7 +302,7 @@ def identify(docs: DataFrame, models: Models, text_col: str = "text") -> DataFra
         m: Models = model.value
         for batch in batches:
             best, score, entropy, excess, rejected = [], [], [], [], []
-            for first, end, data, offsets in tx.chunks(batch.column(where)):
+            for first, end, data, offsets in tx.chunks(batch.column(where), CHUNK):
                 points, bounds, n_letters = letters(m.letters, data, offsets)
                 rows = end - first
                 if not m.languages or not n_letters.any():

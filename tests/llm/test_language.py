@@ -1,6 +1,8 @@
+import tracemalloc
 from collections import Counter, defaultdict
 from math import log
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import language as g
@@ -116,3 +118,19 @@ def test_no_n_gram_is_left_out_beside_a_language_with_many(spark):
     assert [(got[i].lang_pred, got[i].rejected) for i in (1, 2)] == [("small", False), ("hot", False)]
     t, p = normal(small), brute_models([(small, "small"), (hot, "hot"), (hot, "hot")])["small"]
     assert abs(got[1].cross_entropy + sum(log(p(t[i : i + 4])) for i in range(len(t) - 3)) / (len(t) - 3)) < 1e-4
+
+
+def test_a_task_holds_the_arrays_of_little_text_at_once(spark, monkeypatch):
+    docs = spark.createDataFrame([("some words", "en"), ("des mots", "fr")], "text string, lang string")
+    models, tasks = g.fit(docs), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: tasks.append(f) or self.selectExpr("lang", "text gram", "1L n"))
+    g.gram_counts(docs)
+    g.identify(docs, models)
+    batch = pa.RecordBatch.from_pydict({"text": ["some words of a text of two kilobytes, " * 52] * 1500, "lang": ["en"] * 1500})
+    for task in tasks:
+        tracemalloc.start()
+        assert sum(b.num_rows for b in task(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        print(round(peak / 1e6), "MB")
+        assert peak < 60e6
